@@ -11,10 +11,10 @@ the hash of any substring in a few array operations.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
+from .common import worker_cache
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 POS_BITS = 24
@@ -24,12 +24,16 @@ SEGMENT = 1 << 22
 CHUNK = 1 << 18
 
 
-@lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE, -1, 1 << 64)
-    up, down = np.full(n, BASE, U), np.full(n, inverse, U)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    """At least the first n powers of BASE and of its inverse."""
+
+    def make():
+        up, down = np.full(size, BASE, U), np.full(size, pow(BASE, -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        return np.cumprod(up), np.cumprod(down)
+
+    size = max(1 << 19, 1 << int(n).bit_length())
+    return worker_cache(f"powers-{size}", make)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,14 +47,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(symbols: np.ndarray) -> np.ndarray:
-    up, _ = powers(max(1 << 20, 1 << int(len(symbols) + 1).bit_length()))
+    up, _ = powers(len(symbols) + 1)
     out = np.zeros(len(symbols) + 1, U)
     np.cumsum(symbols * up[: len(symbols)], out=out[1:])
     return out
 
 
 def substrings(pre: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    _, down = powers(max(1 << 20, 1 << int(len(pre)).bit_length()))
+    _, down = powers(len(pre))
     return (pre[stop] - pre[start]) * down[start]
 
 
@@ -90,7 +94,7 @@ def runs(symbols: np.ndarray, starts: np.ndarray, k: int, size: int):
         return e, e, e, e.astype(U), e.astype(U)
     assert n < 1 << POS_BITS
     pre = prefix(symbols)
-    _, down = powers(max(1 << 20, 1 << int(n + 1).bit_length()))
+    _, down = powers(n + 1)
     grams = mix((pre[k:] - pre[:-k]) * down[: n - k + 1])
     tagged = (grams & ~U((1 << POS_BITS) - 1)) | np.arange(len(grams), dtype=U)
     least = (sliding_min(tagged, w) & U((1 << POS_BITS) - 1)).astype(np.int64)  # one for each window

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,3 +58,11 @@ def release(spark: SparkSession) -> None:
 def let(value: Column, body) -> Column:
     """Bind an expression once and use it many times in `body`."""
     return F.transform(F.array(value), body)[0]
+
+
+def worker_cache(name: str, make):
+    """An object made once in the life of a Python worker, whichever task asks for it."""
+    store = sys.modules.setdefault("_wavequarry_worker", types.ModuleType("_wavequarry_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]

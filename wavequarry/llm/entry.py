@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, secrets, url_filters
+from . import language_id, media, mixing, packing, quality, secrets, simhash, url_filters
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_language_id": language_id.op2_language_id,
     "op3_mixing": mixing.op3_mixing,
+    "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_url_filters": url_filters.op7_url_filters,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_media": media.op9_media,
 }
 
 ORACLE_SQL = {"op1_secret_scans": secrets.OP1_SQL, "op5_quality_rules": quality.OP5_SQL, "op7_url_filters": url_filters.OP7_SQL}
