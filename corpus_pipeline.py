@@ -1,8 +1,59 @@
-"""A corpus pipeline of training-data operators, in stages."""
+"""A corpus pipeline of training-data operators, in stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; run()
+writes each stage's rows to the shared folder as Parquet and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavequarry.llm import language_id, mixing, packing, secrets, simhash
+from wavequarry.llm.common import materialize, read
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that no learned language accepts."""
+    return language_id.keep_known(docs, language_id.fit(docs.where(language_id.fold(F.col("doc_id")) != 0)))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask live secrets; n_chars follows where the text changed."""
+    masked = secrets.mask(docs)
+    return masked.withColumn("n_chars", F.when(F.col("text").contains("[secret]"), F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix takes it."""
+    mixed = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")), ["doc_id"]).where("passes > 0")
+    return mixed.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, with their ids' CRC-32."""
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_dedup),
+    ("secret_scans", secret_scan),
+    ("mixing", mixture),
+    ("packing", packed),
+]
+
+#: Language models, fingerprints and tokens can't be expressed in SQL; tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

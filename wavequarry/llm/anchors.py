@@ -114,3 +114,47 @@ def runs(symbols: np.ndarray, starts: np.ndarray, k: int, size: int):
     context = substrings(pre, first, last + size)
     context = mix(context + (anchor - first).astype(U) * U(0xA24BAED4963EE407) + (last - first).astype(U) * U(0x9FB21C651E98DF25))
     return np.searchsorted(starts, first, side="right") - 1, first, last, grams[anchor], context
+
+
+def document_runs(documents: list[np.ndarray], k: int, size: int):
+    """(first, last, anchor hash, context hash, prefix hashes) of each symbol sequence, positions in it.
+
+    Short sequences are hashed together; a long one is cut into overlapping segments, always at the
+    same places, so that a later pass finds the same runs.
+    """
+    begin = 0
+    while begin < len(documents):
+        stop, total = begin, 0
+        while stop < len(documents) and (stop == begin or total + len(documents[stop]) <= CHUNK):
+            total += len(documents[stop])
+            stop += 1
+        if total > SEGMENT:
+            parts = [[], [], [], []]
+            whole = documents[begin]
+            for at in range(0, max(1, len(whole) - size + 1), SEGMENT):
+                piece = whole[at : at + SEGMENT + size - 1]
+                _, first, last, a, c = runs(piece, np.array([0, len(piece)]), k, size)
+                for out, x in zip(parts, (first + at, last + at, a, c), strict=True):
+                    out.append(x)
+            yield tuple(map(np.concatenate, parts))
+        else:
+            symbols = np.concatenate(documents[begin:stop]) if stop > begin + 1 else documents[begin]
+            starts = np.concatenate(([0], np.cumsum([len(x) for x in documents[begin:stop]])))
+            which, first, last, a, c = runs(symbols, starts, k, size)
+            cut = np.searchsorted(which, np.arange(stop - begin + 1))
+            for d, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                yield first[i:j] - starts[d], last[i:j] - starts[d], a[i:j], c[i:j]
+        begin = stop
+
+
+def word_symbols(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    padded = np.frombuffer(data + b" ", np.uint8)
+    start, stop = word_bounds(padded)
+    if len(padded) <= SEGMENT:
+        return mix(substrings(prefix(byte_symbols(padded)), start, stop) + (stop - start).astype(U))
+    out = []
+    for i in range(0, len(start), 1 << 16):  # a very long text: some words at a time
+        a, b = start[i : i + (1 << 16)], stop[i : i + (1 << 16)]
+        out.append(mix(substrings(prefix(byte_symbols(padded[a[0] : b[-1]])), a - a[0], b - a[0]) + (b - a).astype(U)))
+    return np.concatenate(out or [np.empty(0, U)])

@@ -25,7 +25,7 @@ SAMPLE = 2000
 CALIBRATION_TENTHS = 2
 #: A document is rejected beyond SLACK times the excess that calibration documents stay under; those
 #: of LONG characters and more give its constant part, shorter ones the part that falls with length.
-SLACK, QUANTILE, LONG = 2.0, 0.999, 200
+SLACK, QUANTILE, LONG = 3.0, 0.999, 200
 UNKNOWN = "und"
 TABLE_BITS = 20
 #: Characters hashed at a time; a longer text is one batch of its own.
@@ -195,28 +195,59 @@ def entropies(models: list[dict], texts: list[str]) -> tuple[np.ndarray, np.ndar
     return out, sizes, letters
 
 
-def predict_for(names: list[str], models: list[dict], limits: list[tuple[float, float, float]]):
+def judge_for(names: list[str], models: list[dict], limits: list[tuple[float, float, float]]):
+    """Language, score, cross-entropy and acceptance of each of some texts."""
+
+    def judged(own):
+        if not names:
+            nothing = np.zeros(len(own))
+            return [UNKNOWN] * len(own), nothing, nothing * np.nan, codes_of(own)[2] > 0
+        h, sizes, letters = entropies(models, own)
+        best = h.argmin(axis=1)
+        least = h[np.arange(len(own)), best]
+        some = letters > 0
+        share = 1 / np.exp(-(h - least[:, None]) * np.minimum(sizes, 40)[:, None]).sum(axis=1)
+        mean, reach, short = np.array(limits).T
+        accepted = some & (least - mean[best] <= reach[best] + short[best] / np.sqrt(sizes))
+        lang = [names[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
+        score, entropy = np.where(some, share, 0.0), np.where(some, least, np.nan)
+        return lang, score, entropy, accepted
+
+    return judged
+
+
+def predict_for(*fitted):
+    judged = judge_for(*fitted)
+
     def predict(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in batches_of(texts):
                 own = [t or "" for t in texts[part]]
-                lang, score, entropy, accepted = [UNKNOWN] * len(own), np.zeros(len(own)), np.full(len(own), np.nan), np.zeros(len(own), bool)
-                if names:
-                    h, sizes, letters = entropies(models, own)
-                    best = h.argmin(axis=1)
-                    least = h[np.arange(len(own)), best]
-                    some = letters > 0
-                    share = 1 / np.exp(-(h - least[:, None]) * np.minimum(sizes, 40)[:, None]).sum(axis=1)
-                    mean, reach, short = np.array(limits).T
-                    accepted = some & (least - mean[best] <= reach[best] + short[best] / np.sqrt(sizes))
-                    lang = [names[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-                    score, entropy = np.where(some, share, 0.0), np.where(some, least, np.nan)
+                lang, score, entropy, accepted = judged(own)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(accepted)], names=["key", "lang_pred", "score", "cross_entropy", "accepted"])
 
     return predict
 
 
+def keep_for(column: int, *fitted):
+    judged = judge_for(*fitted)
+
+    def keep(batches):
+        for batch in batches:
+            texts = batch.column(column).to_pylist()
+            for part in batches_of(texts):
+                accepted = judged([t or "" for t in texts[part]])[3]
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(accepted))
+
+    return keep
+
+
+def keep_known(docs: DataFrame, fitted: tuple, text: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose text a learned language accepts; where none was learned, those with a letter."""
+    return docs.mapInArrow(keep_for(docs.columns.index(text), *fitted), docs.schema)
+
+
 def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
@@ -270,8 +301,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def identify(docs: DataFrame, fitted: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, cross_entropy, accepted) for every row, in one pass.
 
-    Null texts and texts without a letter give `und`, score 0 and accepted false; so does every
-    text where no language was learned. Repeated rows give a row each; other columns are ignored.
+    Null texts and texts without a letter give `und`, score 0 and accepted false. Where no language
+    was learned every text gives `und` and score 0, and those with a letter are accepted. Repeated rows give a row each; other columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(predict_for(*fitted), "key long, lang_pred string, score double, cross_entropy double, accepted boolean").withColumnRenamed("key", key)

@@ -118,7 +118,7 @@ def mix(docs: DataFrame, members: Column, size: Column, key: list[str], seed: in
     spark = docs.sparkSession
     docs = docs.withColumn("mix_size", size).withColumn("mix_of", F.sort_array(F.array_distinct(members), asc=True))
     docs = docs.withColumn("mix_hash", F.xxhash64(F.lit(seed), *key))
-    light = docs.select(*key, "mix_size", "mix_of", "mix_hash")
+    light = materialize(docs.select(*key, "mix_size", "mix_of", "mix_hash"), "mix-light")
     order = lambda s: (s is None, s or "")
     counted = [(tuple(sorted(r["mix_of"], key=order)), r["n"], int(r["size"])) for r in light.groupBy("mix_of").agg(F.count("*").alias("n"), F.sum("mix_size").alias("size")).collect()]
     names = sorted({s for p, _, _ in counted for s in p}, key=order)
@@ -180,6 +180,5 @@ def pick_for(key: list[str]):
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
-    docs = materialize(docs, "mix-sizes")
     mixed = mix(docs, F.array("source"), F.col("words"), ["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes")

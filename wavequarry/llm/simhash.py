@@ -163,6 +163,19 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", distance:
     return rows.join(named, "mark").select(F.col("key").alias(key), "mark", "component")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, one of each component: that with the smallest key; of repeated rows with this key, one.
+
+    A null key stays only where its component has no other.
+    """
+    found = cluster(docs, key, text)
+    first = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("kept_key"), F.col("mark").alias("kept_mark"), "component").distinct()
+    # a component that spans several fingerprints of one key keeps the first of them
+    first = first.groupBy("component", "kept_key").agg(F.min("kept_mark").alias("kept_mark")).select("kept_key", F.lit(1).alias("kept")).distinct()
+    rows = docs.join(first, F.col(key).eqNullSafe(F.col("kept_key")), "left_semi")
+    return rows.dropDuplicates([key])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
