@@ -1 +1,6 @@
+"""The registered queries: operators applied to the driver's tables."""
 
+from . import loudness
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "loudness"]
