@@ -70,7 +70,7 @@ def finite(x: Column) -> Column:
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    return F.round(finite(x.cast("double")), digits)
+    return F.round(finite(x.cast("double")), digits) + F.lit(0.0)  # no negative zero
 
 
 def wrap16(delta: Column) -> Column:

@@ -1,6 +1,6 @@
 """The registered queries: operators applied to the driver's tables."""
 
-from . import loudness
+from . import delivery, loudness, signal
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "loudness"]
+__all__ = ["ORACLE_SQL", "QUERIES", "delivery", "loudness", "signal"]
