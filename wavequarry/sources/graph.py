@@ -110,7 +110,7 @@ def flow_findings(frames: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("ordinal")
     f = frames.withColumn("next", F.lead("start").over(w)).withColumn("n", F.row_number().over(w)).withColumn("first_index", F.first("frame_index").over(w))
     per = f.groupBy("path").agg(
-        F.count_if("error IS NOT NULL").alias("errors"), F.count_distinct("flow_id").alias("flows"), F.count_distinct("time_reference").alias("refs"), F.bool_and(F.col("frame_index") - F.col("first_index") == F.col("n") - 1).alias("ordered"),
+        F.count("error").alias("errors"), F.count_distinct("flow_id").alias("flows"), F.count_distinct("time_reference").alias("refs"), F.bool_and(F.col("frame_index") - F.col("first_index") == F.col("n") - 1).alias("ordered"),
         F.bool_and(F.col("next").isNull() | (F.abs(F.col("start") + F.col("duration") - F.col("next")) <= 1e-9)).alias("contiguous"), F.min_by("kind", "ordinal").alias("first_kind"),
     )
     rules = [("SYNTAX", F.col("errors") == 0), ("FLOW-ID", F.col("flows") <= 1), ("TIME-REFERENCE", F.col("refs") <= 1), ("FRAME-INDEX", F.coalesce("ordered", F.lit(False))), ("CONTIGUITY", F.coalesce("contiguous", F.lit(False))), ("FIRST-FRAME", F.coalesce(F.col("first_kind").isin("header", "full"), F.lit(False)))]

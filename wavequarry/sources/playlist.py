@@ -73,15 +73,15 @@ def parse_batches(batches):
 
 def read_playlists(spark: SparkSession, path: str) -> DataFrame:
     """Segments of every playlist under a path."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("text")).mapInPandas(parse_batches, SEGMENTS)
 
 
 def findings(segments: DataFrame) -> DataFrame:
     """2.11: one row per playlist and rule."""
     per = segments.groupBy("path").agg(
-        F.count_if("error IS NOT NULL").alias("errors"), F.max(F.round("duration")).alias("longest"), F.first("target").alias("target"), F.first("version").alias("version"), F.bool_or("endlist").alias("ended"),
-        F.first("playlist_type").alias("kind"), F.bool_or(F.col("uri").rlike(r"\.(m4s|mp4|cmfa)$")).alias("fragmented"), F.bool_and(F.col("map_uri").isNotNull()).alias("mapped"), F.count_if("byterange IS NOT NULL").alias("ranges"),
+        F.count("error").alias("errors"), F.max(F.round("duration")).alias("longest"), F.first("target").alias("target"), F.first("version").alias("version"), F.bool_or("endlist").alias("ended"),
+        F.first("playlist_type").alias("kind"), F.bool_or(F.col("uri").rlike(r"\.(m4s|mp4|cmfa)$")).alias("fragmented"), F.bool_and(F.col("map_uri").isNotNull()).alias("mapped"), F.count("byterange").alias("ranges"),
     )
     ok = lambda c: F.coalesce(c, F.lit(False))
     rules = [

@@ -106,7 +106,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sdp(spark: SparkSession, path: str) -> DataFrame:
     """One row per session description: media, format, clock and timing fields by regular expression."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("t"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("t"))
     field = lambda pattern, i=1: F.nullif(F.regexp_extract("t", "(?m)" + pattern, i), F.lit(""))
     rtpmap = r"^a=rtpmap:(\d+) ([A-Za-z0-9]+)/(\d+)(?:/(\d+))?"
     return text.select(
