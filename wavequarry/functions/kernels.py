@@ -100,13 +100,19 @@ def bessel_i0(x: float) -> float:
     return total
 
 
+_TAPS: dict = {}
+
+
 def true_peak_taps(taps: int = 64, factor: int = 4, beta: float = 8.5, cutoff: float = 0.125) -> np.ndarray:
     """Kaiser-windowed sinc whose sum is `factor`."""
+    if (taps, factor, beta, cutoff) in _TAPS:
+        return _TAPS[taps, factor, beta, cutoff]
     m = taps - 1
     n = np.arange(taps) - m / 2
     window = np.array([bessel_i0(beta * math.sqrt(max(0.0, 1 - (2 * i / m - 1) ** 2))) for i in range(taps)]) / bessel_i0(beta)
     h = 2 * cutoff * np.sinc(2 * cutoff * n) * window
-    return h * (factor / h.sum())
+    _TAPS[taps, factor, beta, cutoff] = h = h * (factor / h.sum())
+    return h
 
 
 def true_peak(x: np.ndarray, history: np.ndarray | None = None) -> float:

@@ -23,10 +23,6 @@ def numbers(xs) -> str:
     return "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in xs) + "]"
 
 
-def doubles(xs):
-    return F.array(*[F.lit(float(x)) for x in xs])
-
-
 @query(f"WITH {VECTOR_SQL}, g AS (SELECT asset, list_transform(samples, lambda x: greatest(-0.2::DOUBLE, least(0.2::DOUBLE, x * 1.5::DOUBLE))) AS y FROM v) SELECT asset, round(list_sum(y), 6) AS total, round(list_max(y), 6) AS top, CAST(len(list_filter(y, lambda x: abs(x) >= 0.2)) AS INT) AS clipped FROM g")
 def apply_gain_clip(spark, sf_dir):
     """Gain and hard clip."""
@@ -77,12 +73,16 @@ PHASES = kernels.true_peak_taps().reshape(-1, 4)
     + ") AS peak FROM h) SELECT asset, round(peak, 6) AS true_peak, round(20 * log10(peak), 6) AS true_peak_dbtp FROM y WHERE peak > 0"
 )
 def true_peak(spark, sf_dir):
-    """Four-phase interpolation; history is the first sample repeated."""
-    rows = vectors(spark, sf_dir).select("asset", "samples", F.concat(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.col("samples")[0]), "samples").alias("x"))
-    at = F.sequence(F.lit(1), F.size("samples"))
-    phase = lambda p: F.array_max(F.transform(at, lambda i: F.abs(dot(F.slice("x", i, 16), doubles(PHASES[::-1, p])))))
-    peak = F.greatest(F.array_max(F.transform("samples", F.abs)), *[phase(p) for p in range(4)])
-    return rows.select("asset", peak.alias("peak")).where("peak > 0").select("asset", rounded(F.col("peak")).alias("true_peak"), rounded(amplitude_db(F.col("peak"))).alias("true_peak_dbtp"))
+    """Four-phase interpolation; history is the first sample repeated. Arrow batches: a convolution per phase."""
+
+    def peaks(batches):
+        import pandas as pd
+
+        for rows in batches:
+            yield pd.DataFrame({"asset": rows["asset"], "peak": [kernels.true_peak(np.asarray(x)) for x in rows["samples"]]})
+
+    found = vectors(spark, sf_dir).select("asset", "samples").mapInPandas(peaks, "asset long, peak double").where("peak > 0")
+    return found.select("asset", rounded(F.col("peak")).alias("true_peak"), rounded(amplitude_db(F.col("peak"))).alias("true_peak_dbtp"))
 
 
 RESPONSE = kernels.impulse_response(48000, 64)
