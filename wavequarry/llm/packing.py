@@ -114,7 +114,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     tokens = materialize(tokens.mapInArrow(tokenize_for(vocabulary), "part int, local long, key long, n long, width byte, ids binary"), "packing-ids")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))  # a row for each partition
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = tokens.join(totals.select("part", before.alias("base")), "part").select("key", (F.col("base") + F.col("local")).alias("begin"), "width", "ids")
+    bases = F.broadcast(totals.select("part", before.alias("base")))  # as many rows as the scan has partitions
+    placed = tokens.join(bases, "part").select("key", (F.col("base") + F.col("local")).alias("begin"), "width", "ids")
     schema = "key long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     return placed.mapInArrow(cut_for(window), schema).withColumnRenamed("key", key)
 
