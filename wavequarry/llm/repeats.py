@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from .anchors import SEGMENT, byte_symbols, document_runs, mix, prefix, substrings, word_symbols
 from .common import materialize, release
@@ -146,8 +147,12 @@ def windows_for(kind: str, k: int, size: int):
     return expand
 
 
-def cover_for(kind: str, k: int, size: int, finish):
-    """Covered symbols of each document from its FULL runs and repeated windows; finish(data, covered) makes the result's columns."""
+#: A result column of spans: Arrow must not guess it from a batch without any.
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def cover_for(kind: str, k: int, size: int, finish, kinds: list[pa.DataType]):
+    """Covered symbols of each document from its FULL runs and repeated windows; finish(data, covered) makes the result's columns, of `kinds`."""
 
     def cover(batches):
         for batch in batches:
@@ -160,18 +165,19 @@ def cover_for(kind: str, k: int, size: int, finish):
                 covers: dict[int, np.ndarray] = {}
                 for d, s, (first, last, _, _) in zip(some, symbols, document_runs(symbols, k, size), strict=True):
                     steps = np.zeros(len(s) + 1, np.int32)
-                    numbers, kinds = marked[d] >> 1, marked[d] & 1
-                    whole, single = np.unique(numbers[kinds == 0]), np.unique(numbers[kinds == 1])
+                    numbers, single_window = marked[d] >> 1, marked[d] & 1
+                    whole, single = np.unique(numbers[single_window == 0]), np.unique(numbers[single_window == 1])
                     np.add.at(steps, np.concatenate((first[whole], single)), 1)
                     np.add.at(steps, np.concatenate((last[whole], single)) + size, -1)
                     covers[d] = np.cumsum(steps)[:-1] > 0
                 rows = [finish(x, covers.get(d)) for d, x in enumerate(data)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + BATCH], *map(pa.array, zip(*rows, strict=True))], names=["key", *[f"c{c}" for c in range(len(rows[0]))]])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + BATCH], *columns], names=["key", *[f"c{c}" for c in range(len(kinds))]])
 
     return cover
 
 
-def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int, by_order: bool, finish, schema: str) -> DataFrame:
+def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int, by_order: bool, finish, kinds: list[pa.DataType]) -> DataFrame:
     """Apply finish() to every row's text and the mask of its symbols that repeated windows of `size` symbols cover.
 
     by_order: a window counts where it starts in a document with a smaller key, else where it
@@ -201,4 +207,5 @@ def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int,
     marks = marks.groupBy("key", "sum").agg(F.collect_list("number").alias("numbers"))
     none = F.array().cast("array<bigint>")
     joined = rows.join(marks, ["key", "sum"], "left").select("id", "text", F.coalesce("numbers", none).alias("numbers"))
-    return joined.mapInArrow(cover_for(kind, k, size, finish), f"key long, {schema}").withColumnRenamed("key", key)
+    schema = from_arrow_schema(pa.schema([("key", pa.int64()), *[(f"c{c}", t) for c, t in enumerate(kinds)]]))
+    return joined.mapInArrow(cover_for(kind, k, size, finish, kinds), schema).withColumnRenamed("key", key)

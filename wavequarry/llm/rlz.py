@@ -15,10 +15,11 @@ import hashlib
 from itertools import compress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .repeats import repeated
+from .repeats import SPANS, repeated
 from .suffix_dedup import bounds
 
 LENGTH, GRAM = 35, 12
@@ -37,7 +38,7 @@ def factor(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     the same row or another, judged on the input; so every copy of a repeated passage goes. A null
     text is empty; texts under `length` words lose nothing. Other columns are ignored.
     """
-    found = repeated(docs, key, text, "words", gram, length, False, finish, "c0 long, c1 long, c2 string, c3 array<struct<start:bigint,stop:bigint>>")
+    found = repeated(docs, key, text, "words", gram, length, False, finish, [pa.int64(), pa.int64(), pa.string(), SPANS])
     return found.toDF(key, "n_words", "n_removed", "kept_sha256", "factors")
 
 

@@ -15,10 +15,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .repeats import repeated
+from .repeats import SPANS, repeated
 
 LENGTH, GRAM = 50, 20
 
@@ -44,7 +45,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     key, judged on the input. A null text is empty; texts under `length` bytes lose nothing; rows
     with equal keys count as one document; a null key counts as the largest. Other columns are ignored.
     """
-    found = repeated(docs, key, text, "bytes", gram, length, True, finish, "c0 long, c1 long, c2 long, c3 string, c4 array<struct<start:bigint,stop:bigint>>")
+    found = repeated(docs, key, text, "bytes", gram, length, True, finish, [pa.int64(), pa.int64(), pa.int64(), pa.string(), SPANS])
     return found.toDF(key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
