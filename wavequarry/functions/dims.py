@@ -64,6 +64,12 @@ PROFILES = [
 PROFILE_COLUMNS = ["profile", "basis", "target", "lower_tol", "upper_tol", "max_loudness", "max_true_peak", "max_short_term", "max_ldr", "plr_below"]
 PROFILE_SCHEMA = "profile string, basis string, " + ", ".join(f"{c} double" for c in PROFILE_COLUMNS[2:])
 
+#: Fixed values of published or customary presets: name, target, ceiling.
+PRESETS = [
+    ("spotify", -14.0, -1.0), ("apple-music", -16.0, -1.0), ("youtube", -14.0, -1.0), ("podcast-stereo", -16.0, -1.0),
+    ("podcast-mono", -19.0, -1.0), ("ebu-r128", -23.0, -1.0), ("atsc-a85", -24.0, -2.0), ("arib-tr-b32", -24.0, -1.0),
+]
+
 #: What a failed metric asks for, in our own words.
 REMEDIES = {
     "integrated_lufs": "Change the static gain so that the programme lies in the target range.",

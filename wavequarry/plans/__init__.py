@@ -1,6 +1,6 @@
 """The registered queries: operators applied to the driver's tables."""
 
-from . import delivery, loudness, signal, streams
+from . import delivery, evidence, loudness, signal, streams
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "delivery", "loudness", "signal", "streams"]
+__all__ = ["ORACLE_SQL", "QUERIES", "delivery", "evidence", "loudness", "signal", "streams"]
