@@ -59,7 +59,7 @@ def label_for(by_order: bool):
     """From rows (a, b, key, tag) sorted by them to (key, tag, kind).
 
     FULL: the row's (a, b) occurs with a smaller key (by_order), or more than once. EXPAND: the
-    row stands for its (a, b), and there are others with the same a.
+    row stands for its (a, b), and others with the same a differ in b (and, by_order, in key).
     """
 
     def label(batches):
@@ -87,7 +87,14 @@ def label_for(by_order: bool):
             multi = before | np.append(same, False)
             if by_order:
                 full = key > key[start][group]
-                expand = ~full & (multi[group] | ~new)
+                # an anchor of one document only can't remove anything; at a batch's ends that isn't known
+                top = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                several = np.minimum.reduceat(key, top) != np.maximum.reduceat(key, top)
+                several[-1] = True
+                several[0] |= held is not None
+                sure = multi.copy()
+                sure[-1] = True
+                expand = ~full & sure[group] & several[np.searchsorted(top, np.arange(len(a)), side="right") - 1]
             else:
                 full = many[group]
                 expand = new & multi[group]
