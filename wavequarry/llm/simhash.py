@@ -47,7 +47,7 @@ def fingerprints(batches):
     for batch in batches:
         for i in range(0, len(batch), BATCH):
             marks = np.array([fingerprint(t) for t in batch.column(1)[i : i + BATCH].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + BATCH], pa.array(marks)], names=["key", "mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + BATCH], pa.array(marks), batch.column(2)[i : i + BATCH]], names=["key", "mark", "text_hash"])
 
 
 def block_masks(n: int, distance: int = DISTANCE) -> list[int]:
@@ -148,32 +148,32 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(key, mark, component): SimHash of each row and the smallest key reachable by links.
+    """(key, mark, component, root, text_hash): SimHash of each row and the smallest key reachable by links.
 
     A null or empty text has fingerprint zero, linked like any other; a null key gets a component
     but never names one that has other keys. Repeated rows give a row each. Other columns are ignored.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(fingerprints, "key long, mark long")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(fingerprints, "key long, mark long, text_hash long")
     rows = materialize(rows, "simhash-marks")
     marks = materialize(rows.groupBy("mark").agg(F.min("key").alias("least")), "simhash-distinct")
     roots = components(near_pairs(marks.select("mark"), distance), "simhash-edges")
     rooted = marks.join(roots, F.col("mark") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(least, "root").select("mark", "component")
-    return rows.join(named, "mark").select(F.col("key").alias(key), "mark", "component")
+    named = rooted.join(least, "root").select("mark", "component", "root")
+    return rows.join(named, "mark").select(F.col("key").alias(key), "mark", "component", "root", "text_hash")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest key; of repeated rows with this key, one.
+    """The rows of docs, one of each component: that with the smallest key, of several with this key one.
 
-    A null key stays only where its component has no other.
+    A null key comes last: such a row stays only where its component has no other.
     """
     found = cluster(docs, key, text)
-    first = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("kept_key"), F.col("mark").alias("kept_mark"), "component").distinct()
-    # a component that spans several fingerprints of one key keeps the first of them
-    first = first.groupBy("component", "kept_key").agg(F.min("kept_mark").alias("kept_mark")).select("kept_key", F.lit(1).alias("kept")).distinct()
-    rows = docs.join(first, F.col(key).eqNullSafe(F.col("kept_key")), "left_semi")
-    return rows.dropDuplicates([key])
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("kept_key"), F.col("text_hash").alias("kept_hash"))).alias("b"))
+    kept = materialize(best.select("b.kept_key", "b.kept_hash"), "simhash-kept")
+    rows = docs.withColumn("kept_text", F.xxhash64(text))
+    rows = rows.join(kept, (F.col("kept_text") == F.col("kept_hash")) & F.col(key).eqNullSafe(F.col("kept_key")), "left_semi")
+    return rows.dropDuplicates([key, "kept_text"]).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
