@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
 import types
@@ -62,12 +61,6 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def let(value: Column, body) -> Column:
     """Bind an expression once and use it many times in `body`."""
     return F.transform(F.array(value), body)[0]

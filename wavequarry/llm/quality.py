@@ -12,7 +12,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SPACE_CLASS, SPACES, let, materialize, read
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import drop_table, materialize, read
 
 BITS, DISTANCE, WORDS, SEED = 64, 4, 4, 42
 #: Groups over this size are dealt out in blocks, each pair of blocks on its own.
@@ -144,7 +144,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
         small = star.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(star.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), tag)
+        old, edges = edges, materialize(small.distinct(), tag)
+        drop_table(old)
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
