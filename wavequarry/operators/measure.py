@@ -17,12 +17,20 @@ def window_energy(hops: DataFrame, n: int, name: str = "block", key: str = "asse
     return hops.withColumn(name, F.avg(energy).over(w)).withColumn("whole", F.count("*").over(w)).where(F.col("whole") == n).drop("whole")
 
 
-def gated(blocks: DataFrame, keys: list[str], block: str = "block") -> DataFrame:
+def gated(blocks: DataFrame, keys: list[str], block: str = "block", clustered: bool = False) -> DataFrame:
     """A1: two-stage gated loudness of the blocks of each key.
 
     The relative gate is a tenth of the mean of blocks at or above the absolute gate; the result is
     the mean of all blocks at or above the larger gate, or that first mean where none is.
+    clustered: a window over the keys already holds the blocks together, as the one that made them
+    did, so both passes run over the same partitions without a join; else two aggregations meet.
     """
+    if clustered:
+        w = Window.partitionBy(*keys)
+        with_mean = blocks.withColumn("first_mean", F.avg(F.when(F.col(block) >= ABSOLUTE_GATE, F.col(block))).over(w))
+        over = F.col(block) >= F.greatest(F.lit(ABSOLUTE_GATE), F.col("first_mean") / 10)
+        out = with_mean.groupBy(*keys).agg(F.count("*").alias("n_blocks"), F.count_if(over).alias("n_gated"), F.avg(F.when(over, F.col(block))).alias("mean"), F.first("first_mean").alias("first_mean"))
+        return out.select(*keys, "n_blocks", "n_gated", lufs(F.coalesce("mean", "first_mean", F.lit(0.0))).alias("integrated_lufs"))
     first = blocks.groupBy(*keys).agg(F.count("*").alias("n_blocks"), F.avg(F.when(F.col(block) >= ABSOLUTE_GATE, F.col(block))).alias("first_mean"))
     first = first.withColumn("gate", F.greatest(F.lit(ABSOLUTE_GATE), F.col("first_mean") / 10))
     above = blocks.join(first, keys).groupBy(*keys, "n_blocks", "first_mean").agg(
@@ -31,8 +39,14 @@ def gated(blocks: DataFrame, keys: list[str], block: str = "block") -> DataFrame
     return above.select(*keys, "n_blocks", "n_gated", lufs(F.coalesce("mean", "first_mean", F.lit(0.0))).alias("integrated_lufs"))
 
 
-def loudness_range(blocks: DataFrame, keys: list[str], block: str = "block") -> DataFrame:
+def loudness_range(blocks: DataFrame, keys: list[str], block: str = "block", clustered: bool = False) -> DataFrame:
     """A3: P95 - P10 of short-term loudness above both gates, linear interpolation; under two blocks: 0."""
+    if clustered:
+        above = F.col(block) >= ABSOLUTE_GATE
+        gate = F.avg(F.when(above, F.col(block))).over(Window.partitionBy(*keys)) / 100
+        rows = blocks.withColumn("gate", gate).withColumn("l", F.when(above & (F.col(block) >= F.col("gate")), lufs(F.col(block))))
+        found = rows.groupBy(*keys).agg(F.count("l").alias("n_used"), F.percentile("l", F.lit(0.95)).alias("p95"), F.percentile("l", F.lit(0.10)).alias("p10"))
+        return found.select(*keys, F.when(F.col("n_used") >= 2, F.col("p95") - F.col("p10")).otherwise(F.lit(0.0)).alias("lra"), "n_used")
     kept = blocks.where(F.col(block) >= ABSOLUTE_GATE)
     mean = kept.groupBy(*keys).agg((F.avg(block) / 100).alias("gate"))
     kept = kept.join(mean, keys).withColumn("l", F.when(F.col(block) >= F.col("gate"), lufs(F.col(block))))

@@ -78,7 +78,7 @@ def analyze(chunks: DataFrame, roles: DataFrame) -> DataFrame:
         amplitude_db(F.sqrt(F.sum("square_sum") / F.sum("n"))).alias("rms_dbfs"), amplitude_db(F.max("sample_peak")).alias("sample_peak_dbfs"), amplitude_db(F.max("true_peak")).alias("true_peak_dbtp")
     )
     peak = lambda df, name: df.groupBy("asset").agg(lufs(F.max("block")).alias(name))
-    out = top.join(measure.gated(momentary, ["asset"]), "asset", "left").join(measure.loudness_range(short, ["asset"]).drop("n_used"), "asset", "left")
+    out = top.join(measure.gated(momentary, ["asset"], clustered=True), "asset", "left").join(measure.loudness_range(short, ["asset"], clustered=True).drop("n_used"), "asset", "left")
     out = out.join(peak(momentary, "max_momentary_lufs"), "asset", "left").join(peak(short, "max_short_term_lufs"), "asset", "left")
     silent = F.lit("-Infinity").cast("double")
     return out.select(

@@ -36,7 +36,7 @@ def db_sql(x: str) -> str:
 def integrated_loudness(spark, sf_dir):
     """Gated loudness of each asset."""
     blocks = measure.window_energy(stream(spark, sf_dir), measure.MOMENTARY)
-    return measure.gated(blocks, ["asset"]).withColumn("integrated_lufs", rounded(F.col("integrated_lufs")))
+    return measure.gated(blocks, ["asset"], clustered=True).withColumn("integrated_lufs", rounded(F.col("integrated_lufs")))
 
 
 @query(
@@ -61,7 +61,7 @@ SELECT asset, round(coalesce(lra, 0), 6) AS lra, coalesce(n_used, 0) AS n_used F
 def loudness_range(spark, sf_dir):
     """Loudness range over short-term blocks."""
     blocks = measure.window_energy(stream(spark, sf_dir), measure.SHORT_TERM)
-    return measure.loudness_range(blocks, ["asset"]).withColumn("lra", rounded(F.col("lra")))
+    return measure.loudness_range(blocks, ["asset"], clustered=True).withColumn("lra", rounded(F.col("lra")))
 
 
 WINDOWED_SQL = f"""{STREAM_SQL},
@@ -112,7 +112,7 @@ SELECT asset, round(20 * log10(peak) - (-0.691 + 10 * log10(ms)), 6) AS plr, rou
 def plr(spark, sf_dir):
     """P10: peak to loudness ratio, duration and whether the range is stable."""
     frames = stream(spark, sf_dir)
-    loud = measure.gated(measure.window_energy(frames, measure.MOMENTARY), ["asset"])
+    loud = measure.gated(measure.window_energy(frames, measure.MOMENTARY), ["asset"], clustered=True)
     peak = measure.peaks(frames)
     both = loud.join(peak, "asset").withColumn("plr", rounded(F.col("peak_dbfs") - F.col("integrated_lufs"))).where("plr IS NOT NULL")
     return both.select("asset", "plr", rounded(F.col("frames") / 10).alias("duration_seconds"), (F.col("frames") / 10 >= 60).alias("lra_stable"))
@@ -200,7 +200,7 @@ def dialogue_gated(spark, sf_dir):
     inside = measure.overlapping(frames, ranges)
     w = Window.partitionBy("asset", "range_no").orderBy("frame").rowsBetween(-3, 0)
     blocks = inside.withColumn("block", F.avg("energy").over(w)).withColumn("whole", F.count("*").over(w)).where("whole = 4")
-    return measure.gated(blocks, ["asset"]).withColumn("integrated_lufs", rounded(F.col("integrated_lufs")))
+    return measure.gated(blocks, ["asset"], clustered=True).withColumn("integrated_lufs", rounded(F.col("integrated_lufs")))
 
 
 LEVEL_SQL = f"{STREAM_SQL}, l AS (SELECT asset, 10 * log10(greatest(energy, 1e-30)) AS level FROM f)"
