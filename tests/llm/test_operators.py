@@ -288,9 +288,12 @@ def shuffled_passages(seed, n=60):
     return [" ".join([parts[int(k)][int(rng.integers(3)) :] for k in rng.integers(0, 12, int(rng.integers(0, 5)))]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_equal_brute_force(spark, seed):
-    texts = [*ODD, *shuffled_passages(seed), "ab" * 400, "ab" * 300]
+@pytest.mark.parametrize(("seed", "sample", "combined"), [(1, 64, 1 << 19), (2, 1, 1 << 19), (3, 1, 50), (4, 64, 50)])
+def test_repeats_equal_brute_force(spark, monkeypatch, seed, sample, combined):
+    """With and without anchors that count as frequent, rows combined in large and small lots."""
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
+    monkeypatch.setattr(repeats, "COMBINED", combined)
+    texts = [*ODD, *shuffled_passages(seed), "ab" * 400, "ab" * 300, "tick " * 200, "tick " * 90 + PASSAGE]
     ids = [*range(len(texts) - 3), 5, 5, None]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -427,6 +430,8 @@ def test_clusters_of_documents(spark):
     got = {(r.doc_id, r.component) for r in simhash.cluster(documents(spark, texts, ids=[9, 4, 7, 3, None, 6, 6])).collect()}
     assert got == {(9, 4), (4, 4), (7, 3), (3, 3), (None, None), (6, 6)}
     assert sorted((r.doc_id for r in simhash.keep_one(documents(spark, texts, ids=[9, 4, 7, 3, None, 6, 6])).collect()), key=str) == [3, 4, 6, None]
+    texts = ["one two three four", "alpha beta gamma delta", "A b c d e", "a B c d e", "a b c d e"]
+    assert sorted((str(r.doc_id) for r in simhash.keep_one(documents(spark, texts, ids=[None, None, 5, 5, None])).collect())) == ["5", "None", "None"]
 
 
 # op9

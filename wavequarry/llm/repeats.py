@@ -6,6 +6,11 @@ sorts the single windows of what is left, anchors that occur in different contex
 hashes of their first and their last part. Rows are labelled in one streaming pass over sorted
 partitions that remembers one row, so a window in a third of all documents needs no more memory
 than a rare one.
+
+Frequent text doesn't meet in one task. Within a document only the first run of a context is sent;
+among some hundred thousand rows of a task only one of a context is, the others' verdicts being
+known. Anchors that are frequent in a sample of documents are dealt out by context, and all their
+contexts are expanded: the sample decides where rows go, never what becomes of them.
 """
 
 from __future__ import annotations
@@ -20,11 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .anchors import SEGMENT, byte_symbols, document_runs, mix, prefix, substrings, word_symbols
-from .common import materialize, release
+from .common import materialize
 
 FULL, EXPAND = 1, 2
 LAST_KEY = (1 << 63) - 1
 BATCH = 256
+#: Rows of a task that are combined before they are sent.
+COMBINED = 1 << 19
+#: One document in SAMPLE is looked at for frequent anchors: those in FREQUENT of the sampled ones, or in 4.
+#: A document has some hundreds of anchors, so the list has at most some hundreds / FREQUENT entries.
+SAMPLE, FREQUENT = 64, 0.002
 
 
 def symbols_of(kind: str, data: bytes) -> np.ndarray:
@@ -37,26 +47,97 @@ def tags(data: list[bytes], counts: list[int], numbers: np.ndarray) -> np.ndarra
     return (np.repeat(sums, counts) | numbers.astype(np.uint64)).view(np.int64)
 
 
-def runs_for(kind: str, k: int, size: int):
+ROWS = "a long, b long, key long, tag long"
+#: b of a row whose verdict, FULL, is known; a says where it goes.
+DONE = -(1 << 63)
+
+
+class Sent:
+    """Rows gathered until there are enough of them to be combined, then sent as Arrow batches."""
+
+    def __init__(self, by_order: bool, once: bool) -> None:
+        """once: a document's first row of an (a, b) stands for its others."""
+        self.by_order, self.once, self.parts, self.size = by_order, once, [], 0
+
+    def add(self, *columns: np.ndarray) -> pa.RecordBatch | None:
+        """a, b, key, tag and the number of the physical row, in order of position within it."""
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        return self.flush() if self.size >= COMBINED else None
+
+    def flush(self) -> pa.RecordBatch:
+        whole = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        self.parts, self.size = [], 0
+        if not len(whole[0]):
+            return self.batch(*whole[:4])
+        order = np.argsort(mix(whole[0].view(np.uint64) + mix(whole[1].view(np.uint64))), kind="stable")
+        a, b, key, _, row = (c[order] for c in whole)
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        own = new | np.concatenate(([True], row[1:] != row[:-1])) if self.once else np.ones(len(a), bool)
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        if self.by_order:
+            least = np.minimum.reduceat(key, start)[group]
+            done, send = own & (key > least), np.flatnonzero(own & (key == least))
+            if self.once:
+                send = send[np.concatenate(([True], group[send[1:]] != group[send[:-1]]))]
+        else:
+            done, send = own & (np.diff(np.append(start, len(a))) > 1)[group], start
+        # in the order of the documents again, whose keys then compress well
+        a, b, key, tag = (c[np.sort(order[send])] for c in whole[:4])
+        told = np.sort(order[done])
+        k, t = whole[2][told], whole[3][told]
+        anywhere = mix(k.view(np.uint64) + t.view(np.uint64)).view(np.int64)
+        return self.batch(*(np.concatenate(c) for c in ((a, anywhere), (b, np.full(len(told), DONE)), (key, k), (tag, t))))
+
+    @staticmethod
+    def batch(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "key", "tag"])
+
+
+def runs_of(batch: pa.RecordBatch, i: int, kind: str, k: int, size: int):
+    keys = batch.column(0)[i : i + BATCH].to_numpy()
+    data = [t.encode("utf-8", "surrogatepass") for t in batch.column(1)[i : i + BATCH].to_pylist()]
+    return keys, data, list(document_runs([symbols_of(kind, d) for d in data], k, size))
+
+
+def runs_for(kind: str, k: int, size: int, by_order: bool, hot: np.ndarray):
+    """Rows of runs; b is negative where the anchor is a frequent one."""
+
     def find(batches):
+        sent, row = Sent(by_order, True), 0
         for batch in batches:
             for i in range(0, len(batch), BATCH):
-                keys = batch.column(0)[i : i + BATCH].to_numpy()
-                data = [t.encode("utf-8", "surrogatepass") for t in batch.column(1)[i : i + BATCH].to_pylist()]
-                found = list(document_runs([symbols_of(kind, d) for d in data], k, size))
+                keys, data, found = runs_of(batch, i, kind, k, size)
                 counts = [len(f[0]) for f in found]
                 numbers = np.concatenate([np.arange(n) for n in counts])
                 anchor, context = (np.concatenate([f[c] for f in found]) for c in (2, 3))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array((context >> np.uint64(33)).astype(np.int32)), pa.array(np.repeat(keys, counts)), pa.array(tags(data, counts, numbers))],
-                    names=["a", "b", "key", "tag"],
-                )
+                frequent = np.isin(anchor, hot)
+                b = (context >> np.uint64(33)).astype(np.int64)
+                rows = np.repeat(np.arange(row, row + len(data)), counts)
+                row += len(data)
+                if out := sent.add(anchor.view(np.int64), np.where(frequent, -1 - b, b), np.repeat(keys, counts), tags(data, counts, numbers), rows):
+                    yield out
+        if sent.parts:
+            yield sent.flush()
+
+    return find
+
+
+def anchors_for(kind: str, k: int, size: int):
+    """Distinct anchors of each document."""
+
+    def find(batches):
+        for batch in batches:
+            for i in range(0, len(batch), BATCH):
+                found = [np.unique(f[2]) for f in runs_of(batch, i, kind, k, size)[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["a"])
 
     return find
 
 
 def label_for(by_order: bool):
-    """From rows (a, b, key, tag) sorted by them to (key, tag, kind).
+    """From rows (a, b, key, tag) sorted by them to (key, tag, kind); those that are DONE only pass through.
 
     FULL: the row's (a, b) occurs with a smaller key (by_order), or more than once. EXPAND: the
     row stands for its (a, b), and others with the same a differ in b (and, by_order, in key).
@@ -67,11 +148,15 @@ def label_for(by_order: bool):
         for batch in chain(batches, [None]):
             if batch is None:
                 if held is not None:
-                    kind = EXPAND * multi_before + FULL * (more_before and not by_order)
+                    kind = EXPAND * (multi_before or bool(held[1][0] < 0)) + FULL * (more_before and not by_order)
                     if kind:
                         yield made(held[2], held[3], np.array([kind], np.int8))
                 return
             columns = [batch.column(i).to_numpy() for i in range(4)]
+            done = columns[1] == DONE
+            if done.any():
+                yield made(columns[2][done], columns[3][done], np.full(int(done.sum()), FULL, np.int8))
+                columns = [c[~done] for c in columns]
             if held is not None:
                 columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
             a, b, key, tag = columns
@@ -95,10 +180,11 @@ def label_for(by_order: bool):
                 sure = multi.copy()
                 sure[-1] = True
                 expand = ~full & sure[group] & several[np.searchsorted(top, np.arange(len(a)), side="right") - 1]
+                expand |= ~full & (b < 0)
             else:
                 full = many[group]
-                expand = new & multi[group]
-            kind = (full * FULL + expand * EXPAND).astype(np.int8)
+                expand = new & (multi[group] | (b < 0))
+            kind = (full * FULL + expand * EXPAND).astype(np.int8)  # b < 0: a frequent anchor, whose other contexts are elsewhere
             last = start[-1]
             held, multi_before, more_before = [c[last : last + 1] for c in columns], bool(before[-1]), bool(many[-1])
             kind[last] = 0
@@ -112,8 +198,8 @@ def label_for(by_order: bool):
 
 
 def labelled(rows: DataFrame, by_order: bool) -> DataFrame:
-    rows = rows.repartition("a", "b") if "window" in rows.columns else rows.repartition("a")
-    rows = rows.select("a", "b", "key", "tag").sortWithinPartitions("a", "b", "key", "tag")
+    place = F.when((F.col("b") < 0) & (F.col("b") > DONE), F.xxhash64("a", "b")).otherwise(F.col("a"))  # frequent anchors by context
+    rows = rows.repartition(place).sortWithinPartitions("a", "b", "key", "tag")
     return rows.mapInArrow(label_for(by_order), "key long, tag long, kind byte")
 
 
@@ -124,11 +210,12 @@ def lists(batch: pa.RecordBatch, i: int, column: int):
     return part.values.to_numpy(zero_copy_only=False), offsets
 
 
-def windows_for(kind: str, k: int, size: int):
+def windows_for(kind: str, k: int, size: int, by_order: bool):
     """Single windows of the runs to be expanded: hashes of the first and the last `half` symbols."""
     half = size * 2 // 3
 
     def expand(batches):
+        sent, row = Sent(by_order, False), 0
         for batch in batches:
             for i in range(0, len(batch), BATCH):
                 keys = batch.column(0)[i : i + BATCH].to_numpy()
@@ -149,7 +236,12 @@ def windows_for(kind: str, k: int, size: int):
                     counts.append(len(at))
                     numbers.append(at)
                 a, b = (np.concatenate([p[c] for p in parts]).view(np.int64) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.repeat(keys, counts)), pa.array(tags(data, counts, np.concatenate(numbers)))], names=["a", "b", "key", "tag"])
+                rows = np.repeat(np.arange(row, row + len(data)), counts)
+                row += len(data)
+                if out := sent.add(a, b & LAST_KEY, np.repeat(keys, counts), tags(data, counts, np.concatenate(numbers)), rows):
+                    yield out
+        if sent.parts:
+            yield sent.flush()
 
     return expand
 
@@ -158,6 +250,28 @@ def windows_for(kind: str, k: int, size: int):
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
+def spread(marks: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, context: np.ndarray, size: int):
+    """Starts and stops that a document's marks stand for: a verdict on one run holds for all with its anchor and context.
+
+    A mark is twice a FULL run's number, or twice a repeated window's start and one.
+    """
+    numbers, single = marks >> 1, marks & 1
+    _, same = np.unique(mix(anchor + mix(context.copy())), return_inverse=True)
+    full = np.zeros(same.max(initial=-1) + 1, bool)
+    full[same[numbers[single == 0]]] = True
+    whole = np.flatnonzero(full[same])
+    yield first[whole], last[whole] + size
+    at = np.unique(numbers[single == 1])
+    if len(at):
+        run = np.searchsorted(first, at, side="right") - 1
+        order = np.argsort(same, kind="stable")
+        begin = np.searchsorted(same[order], same[run])
+        count = np.searchsorted(same[order], same[run], side="right") - begin
+        which = order[np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
+        start = first[which] + np.repeat(at - first[run], count)
+        yield start, start + size
+
+
 def cover_for(kind: str, k: int, size: int, finish, kinds: list[pa.DataType]):
     """Covered symbols of each document from its FULL runs and repeated windows; finish(data, covered) makes the result's columns, of `kinds`."""
 
@@ -170,12 +284,11 @@ def cover_for(kind: str, k: int, size: int, finish, kinds: list[pa.DataType]):
                 some = [d for d, m in enumerate(marked) if len(m)]
                 symbols = [symbols_of(kind, data[d]) for d in some]
                 covers: dict[int, np.ndarray] = {}
-                for d, s, (first, last, _, _) in zip(some, symbols, document_runs(symbols, k, size), strict=True):
+                for d, s, found in zip(some, symbols, document_runs(symbols, k, size), strict=True):
                     steps = np.zeros(len(s) + 1, np.int32)
-                    numbers, single_window = marked[d] >> 1, marked[d] & 1
-                    whole, single = np.unique(numbers[single_window == 0]), np.unique(numbers[single_window == 1])
-                    np.add.at(steps, np.concatenate((first[whole], single)), 1)
-                    np.add.at(steps, np.concatenate((last[whole], single)) + size, -1)
+                    for start, stop in spread(marked[d], *found, size):
+                        np.add.at(steps, start, 1)
+                        np.add.at(steps, stop, -1)
                     covers[d] = np.cumsum(steps)[:-1] > 0
                 rows = [finish(x, covers.get(d)) for d, x in enumerate(data)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -190,25 +303,28 @@ def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int,
     by_order: a window counts where it starts in a document with a smaller key, else where it
     starts anywhere else. A null key is never smaller than another nor larger than a null one.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("sum", F.crc32(F.encode("text", "UTF-8")))
     of = lambda df, keep: df.where(keep).select("key", F.shiftrightunsigned("tag", 32).alias("sum"), F.col("tag").bitwiseAND(0xFFFFFFFF).alias("number"))
 
+    def frequent():
+        chosen = rows.where(F.pmod(F.xxhash64(F.lit(5), "key", "sum"), F.lit(SAMPLE)) == 0).select("key", "text")
+        least = max(4, int(FREQUENT * chosen.count()))
+        counts = chosen.mapInArrow(anchors_for(kind, k, size), "a long").groupBy("a").count().where(F.col("count") >= least)
+        return np.array([r["a"] for r in counts.select("a").collect()], np.int64).view(np.uint64)
+
     def first_round():
-        found = rows.select("key", "text").mapInArrow(runs_for(kind, k, size), "a long, b int, key long, tag long")
+        found = rows.select("key", "text").mapInArrow(runs_for(kind, k, size, by_order, frequent()), ROWS)
         return materialize(labelled(found, by_order), "repeats-runs")
 
     def second_round(runs):
         want = of(runs, F.col("kind").bitwiseAND(EXPAND) > 0).groupBy("key", "sum").agg(F.collect_list("number").alias("numbers"))
         chosen = rows.select("key", "sum", "text").join(want, ["key", "sum"]).select("key", "text", "numbers")
-        found = chosen.mapInArrow(windows_for(kind, k, size), "a long, b long, key long, tag long")
-        return materialize(labelled(found.withColumn("window", F.lit(True)), by_order).where(F.col("kind").bitwiseAND(FULL) > 0), "repeats-windows")
+        found = chosen.mapInArrow(windows_for(kind, k, size, by_order), ROWS)
+        return materialize(labelled(found, by_order).where(F.col("kind").bitwiseAND(FULL) > 0), "repeats-windows")
 
     runs = first_round()
-    release(spark)
     windows = second_round(runs)
-    release(spark)
     marks = of(runs, F.col("kind").bitwiseAND(FULL) > 0).select("key", "sum", (F.col("number") * 2).alias("number"))
     marks = marks.union(of(windows, F.lit(True)).select("key", "sum", (F.col("number") * 2 + 1).alias("number")))
     marks = marks.groupBy("key", "sum").agg(F.collect_list("number").alias("numbers"))
