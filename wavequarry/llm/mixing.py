@@ -22,6 +22,8 @@ from .common import SPACE_CLASS, SPACES, materialize, read
 
 #: Costs a token of a document's first, second and third pass.
 PASS_COSTS = (0, 1, 3)
+#: So many patterns at most are broadcast to the documents, a row of some dozens of bytes each; more are joined by shuffle.
+BROADCAST_PATTERNS = 100_000
 #: Documents a bucket holds on average; at most 2**MAX_BITS buckets a pattern.
 BUCKET_DOCS, MAX_BITS = 256, 20
 
@@ -137,6 +139,8 @@ def mix(docs: DataFrame, members: Column, size: Column, key: list[str], seed: in
     # arrays with nulls don't join by equality in every engine: a text that tells null apart does
     text_of = lambda c: F.array_join(F.transform(F.sort_array(c), lambda s: F.coalesce(F.concat(F.lit("="), F.hex(F.encode(s, "UTF-8"))), F.lit("-"))), ",")
     plan = plan.withColumn("mix_pattern", text_of(F.col("mix_names"))).drop("mix_names")
+    if len(counted) <= BROADCAST_PATTERNS:
+        plan = F.broadcast(plan)
     bucket = F.expr("CASE WHEN mix_bits = 0 THEN 0 ELSE shiftrightunsigned(mix_hash, 64 - mix_bits) END").cast("int")
     with_plan = lambda df: df.withColumn("mix_pattern", text_of(F.col("mix_of"))).join(plan, "mix_pattern").withColumn("mix_bucket", bucket)
     sums = with_plan(light).groupBy("mix_pattern", "mix_bucket").agg(F.sum("mix_size").alias("mix_sum"), F.first("mix_rest").alias("mix_rest"))
