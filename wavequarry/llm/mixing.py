@@ -184,5 +184,6 @@ def pick_for(key: list[str]):
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    docs = materialize(docs, "mix-sizes")  # each text is counted once
     mixed = mix(docs, F.array("source"), F.col("words"), ["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), "passes")
