@@ -238,7 +238,7 @@ def windows_for(kind: str, k: int, size: int, by_order: bool):
                 a, b = (np.concatenate([p[c] for p in parts]).view(np.int64) for c in (0, 1))
                 rows = np.repeat(np.arange(row, row + len(data)), counts)
                 row += len(data)
-                if out := sent.add(a, b & LAST_KEY, np.repeat(keys, counts), tags(data, counts, np.concatenate(numbers)), rows):
+                if out := sent.add(a, (b.view(np.uint64) >> np.uint64(25)).astype(np.int64), np.repeat(keys, counts), tags(data, counts, np.concatenate(numbers)), rows):
                     yield out
         if sent.parts:
             yield sent.flush()
