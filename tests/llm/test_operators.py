@@ -306,6 +306,15 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, sample, combined):
     assert got == sorted(brute_words(texts), key=key)
 
 
+@pytest.mark.parametrize("ids", [[5, 5, 1], [None, None, 1], [5, 5, 7]])
+def test_rows_with_equal_keys_each_get_a_verdict(spark, ids):
+    """Two rows of one task share their key and a passage that a row of another task has as well."""
+    texts = ["first " + PASSAGE + " one", "second " + PASSAGE + " two", PASSAGE]
+    docs = documents(spark, texts[:2], ids=ids[:2]).coalesce(1).union(documents(spark, texts[2:], ids=ids[2:]))
+    key = lambda r: (str(r[0]), r[1:])
+    assert sorted((tuple(r) for r in suffix_dedup.dedup(docs).drop("spans").collect()), key=key) == sorted(brute_bytes(texts, ids), key=key)
+
+
 def test_factors_are_the_removed_words(spark):
     r = {x.doc_id: x for x in rlz.factor(documents(spark, ["a b " + PASSAGE + " c", PASSAGE + " d"])).collect()}
     assert [(f.start, f.stop) for f in r[0].factors] == [(2, 62)] and [(f.start, f.stop) for f in r[1].factors] == [(0, 60)]

@@ -78,9 +78,8 @@ class Sent:
         group = np.cumsum(new) - 1
         if self.by_order:
             least = np.minimum.reduceat(key, start)[group]
+            # each physical row with the smallest key needs a verdict of its own: rows may share a key
             done, send = own & (key > least), np.flatnonzero(own & (key == least))
-            if self.once:
-                send = send[np.concatenate(([True], group[send[1:]] != group[send[:-1]]))]
         else:
             done, send = own & (np.diff(np.append(start, len(a))) > 1)[group], start
         # in the order of the documents again, whose keys then compress well
