@@ -315,6 +315,26 @@ def test_rows_with_equal_keys_each_get_a_verdict(spark, ids):
     assert sorted((tuple(r) for r in suffix_dedup.dedup(docs).drop("spans").collect()), key=key) == sorted(brute_bytes(texts, ids), key=key)
 
 
+@pytest.mark.parametrize(("by_order", "bits"), [(True, 2), (False, 2), (True, 30), (False, 30)])
+def test_second_names_differ_in_their_low_bits(monkeypatch, by_order, bits):
+    """Contexts of one anchor, and windows of one first part, that differ only below the highest bits stay apart."""
+    import pyarrow as pa
+
+    names = np.array([1 << 63, (1 << 63) + (1 << bits)], np.uint64)
+    one, at = np.ones(1, np.int64), np.zeros(1, np.int64)
+    monkeypatch.setattr(repeats, "runs_of", lambda batch, i, *_: (np.array([1, 2]), [b"a", b"b"], [(at, at, one.view(np.uint64), names[d : d + 1]) for d in range(2)]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", "b"])], names=["key", "text"])
+    rows = next(iter(repeats.runs_for("bytes", 20, 50, by_order, np.array([], np.uint64))(iter([batch]))))
+    assert repeats.DONE not in rows.column(1).to_pylist() and len(set(rows.column(1).to_pylist())) == 2
+    monkeypatch.undo()
+    monkeypatch.setattr(repeats, "substrings", lambda pre, start, stop: np.where(start > 0, names[int(pre[-1]) & 1], np.uint64(7)))
+    monkeypatch.setattr(repeats, "prefix", lambda symbols: np.array([len(symbols) & 1], np.uint64))
+    monkeypatch.setattr(repeats, "mix", lambda x: x)
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["x" * 50, "x" * 51]), pa.array([[0], [0]])], names=["key", "text", "numbers"])
+    rows = next(iter(repeats.windows_for("bytes", 20, 50, by_order)(iter([texts]))))
+    assert repeats.DONE not in rows.column(1).to_pylist() and len(set(rows.column(1).to_pylist())) == 2
+
+
 def test_factors_are_the_removed_words(spark):
     r = {x.doc_id: x for x in rlz.factor(documents(spark, ["a b " + PASSAGE + " c", PASSAGE + " d"])).collect()}
     assert [(f.start, f.stop) for f in r[0].factors] == [(2, 62)] and [(f.start, f.stop) for f in r[1].factors] == [(0, 60)]

@@ -48,6 +48,9 @@ def tags(data: list[bytes], counts: list[int], numbers: np.ndarray) -> np.ndarra
 
 
 ROWS = "a long, b long, key long, tag long"
+#: Bits of the second names that are given up: a context's keeps 62, so that its sign can tell frequent
+#: anchors and none is DONE, a window's 63.
+CONTEXT_SHIFT, WINDOW_SHIFT = 2, 1
 #: b of a row whose verdict, FULL, is known; a says where it goes.
 DONE = -(1 << 63)
 
@@ -112,7 +115,7 @@ def runs_for(kind: str, k: int, size: int, by_order: bool, hot: np.ndarray):
                 numbers = np.concatenate([np.arange(n) for n in counts])
                 anchor, context = (np.concatenate([f[c] for f in found]) for c in (2, 3))
                 frequent = np.isin(anchor, hot)
-                b = (context >> np.uint64(33)).astype(np.int64)
+                b = (context >> np.uint64(CONTEXT_SHIFT)).astype(np.int64)
                 rows = np.repeat(np.arange(row, row + len(data)), counts)
                 row += len(data)
                 if out := sent.add(anchor.view(np.int64), np.where(frequent, -1 - b, b), np.repeat(keys, counts), tags(data, counts, numbers), rows):
@@ -237,7 +240,7 @@ def windows_for(kind: str, k: int, size: int, by_order: bool):
                 a, b = (np.concatenate([p[c] for p in parts]).view(np.int64) for c in (0, 1))
                 rows = np.repeat(np.arange(row, row + len(data)), counts)
                 row += len(data)
-                if out := sent.add(a, (b.view(np.uint64) >> np.uint64(25)).astype(np.int64), np.repeat(keys, counts), tags(data, counts, np.concatenate(numbers)), rows):
+                if out := sent.add(a, (b.view(np.uint64) >> np.uint64(WINDOW_SHIFT)).astype(np.int64), np.repeat(keys, counts), tags(data, counts, np.concatenate(numbers)), rows):
                     yield out
         if sent.parts:
             yield sent.flush()
