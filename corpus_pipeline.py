@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavequarry.llm import language_id, mixing, packing, secrets, simhash
+from wavequarry.llm import language_id, mixing, near_copies, packing, secrets
 from wavequarry.llm.common import materialize, read
 
 
@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    return simhash.keep_one(docs)
+    """Keep the document with the smallest id of each group of near copies: fingerprints within 4 bits, or 0.8 of their five-word shingles in common."""
+    return near_copies.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

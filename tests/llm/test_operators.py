@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavequarry.llm import anchors, entry, language_id, media, mixing, packing, quality, repeats, rlz, secrets, simhash, suffix_dedup, url_filters
+from wavequarry.llm import anchors, entry, language_id, media, mixing, near_copies, packing, quality, repeats, rlz, secrets, simhash, suffix_dedup, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, spans string, size int, tag long"
 
@@ -463,6 +463,44 @@ def test_clusters_of_documents(spark):
     assert sorted((str(r.doc_id) for r in simhash.keep_one(documents(spark, texts, ids=[None, None, 5, 5, None])).collect())) == ["5", "None", "None"]
 
 
+def word_sets(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 4])
+def test_near_copies_equal_brute_force(spark, monkeypatch, block):
+    """Texts between 0.6 and 1 of each other, most of them beyond 4 bits; groups whose first member is like none of them."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    texts = [None, "", "one two", "ONE  two", "one two three"]
+    for f in range(8):
+        base = [f"w{f}x{i}" for i in range(120)]
+        texts.append(" ".join(base))
+        for _ in range(7):
+            copy = list(base)
+            for at in rng.choice(120, int(rng.integers(1, 7)), replace=False):
+                copy[int(at)] = f"n{rng.integers(1 << 40)}"
+            texts.append(" ".join(copy))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order] + texts[-3:]
+    sets, marks, parent = [word_sets(t) for t in texts], [brute_mark(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if (marks[i] ^ marks[j]).bit_count() <= 4 or (union and 5 * len(sets[i] & sets[j]) >= 4 * union):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({find(i) for i in range(len(texts))})
+    got = sorted(r.doc_id for r in near_copies.keep_one(documents(spark, texts)).collect())
+    assert got == want and len(got) < simhash.keep_one(documents(spark, texts)).count()
+
+
 # op9
 
 

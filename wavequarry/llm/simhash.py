@@ -108,18 +108,24 @@ def links_for(distance: int):
     return link
 
 
+def dealt(keys: DataFrame, by: str) -> DataFrame:
+    """keys with a column `part`: every pair of blocks of a hot key becomes a group of its own."""
+    hot = materialize(keys.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "simhash-hot")
+    keys = keys.withColumn("part", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        mine = F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(mine, j).cast("long") * 2**31 + F.greatest(mine, j))
+        parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)
+        keys = keys.drop("part").join(hot, "key", "left").withColumn("part", F.explode(parts)).drop("blocks")
+    return keys
+
+
 def near_pairs(marks: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `mark`: a forest over each key's group, so that every link's two ends are connected."""
     masks = block_masks(marks.count(), distance)
     keys = marks.select("mark", F.posexplode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])).alias("i", "mask"))
     keys = keys.select(F.xxhash64("i", F.col("mark").bitwiseAND(F.col("mask"))).alias("key"), "mark")
-    hot = materialize(keys.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "simhash-hot")
-    keys = keys.withColumn("part", F.lit(0).cast("long"))
-    if not hot.isEmpty():  # every pair of blocks of a hot group becomes a group of its own
-        mine = F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(mine, j).cast("long") * 2**31 + F.greatest(mine, j))
-        parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pair)
-        keys = keys.drop("part").join(hot, "key", "left").withColumn("part", F.explode(parts))
+    keys = dealt(keys, "mark")
     keys = keys.select("key", "part", "mark").repartition("key", "part").sortWithinPartitions("key", "part", "mark")
     return keys.mapInArrow(links_for(distance), "a long, b long")
 
@@ -148,28 +154,31 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         drop_table(old)
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, more=None) -> DataFrame:
     """(key, mark, component, root, text_hash): SimHash of each row and the smallest key reachable by links.
 
     A null or empty text has fingerprint zero, linked like any other; a null key gets a component
     but never names one that has other keys. Repeated rows give a row each. Other columns are ignored.
+    more(docs, text, rows, roots), if given, adds links to the fingerprints' roots.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(fingerprints, "key long, mark long, text_hash long")
     rows = materialize(rows, "simhash-marks")
     marks = materialize(rows.groupBy("mark").agg(F.min("key").alias("least")), "simhash-distinct")
     roots = components(near_pairs(marks.select("mark"), distance), "simhash-edges")
+    if more is not None:
+        roots = more(docs, text, rows, roots)
     rooted = marks.join(roots, F.col("mark") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("mark", "component", "root")
     return rows.join(named, "mark").select(F.col("key").alias(key), "mark", "component", "root", "text_hash")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", more=None) -> DataFrame:
     """The rows of docs, one of each component: that with the smallest key, of several with this key one.
 
     A null key comes last: such a row stays only where its component has no other.
     """
-    found = cluster(docs, key, text)
+    found = cluster(docs, key, text, more=more)
     best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("kept_key"), F.col("text_hash").alias("kept_hash"))).alias("b"))
     kept = materialize(best.select("b.kept_key", "b.kept_hash"), "simhash-kept")
     rows = docs.withColumn("kept_text", F.xxhash64(text))
