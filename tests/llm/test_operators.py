@@ -70,6 +70,18 @@ def test_repeated_rows_and_null_keys_keep_their_rows(spark):
     assert [len(x.base) for x in r] == [1, 1, 1]
 
 
+def test_base_kinds_are_masked_unless_widely_copied(spark):
+    values = ["password=hunter22", "passwd: correcthorsebattery", "AKIA" + "QWERTYUIOPASDFG2", "0a1b" * 8]
+    common = [f"number {i} has token=examplevalue" for i in range(11)]
+    texts = [*values, *[v + " seen" for v in values for _ in range(2)], *common]
+    sources = [*"abcd", *["a", "b"] * 4, *[f"s{i}" for i in range(11)]]
+    got = {r.doc_id: r.text for r in secrets.mask(documents(spark, texts, sources=sources), base_owners=secrets.EXAMPLE_OWNERS).collect()}
+    assert [got[i] for i in range(12)] == ["[secret]"] * 4 + ["[secret] seen"] * 8
+    assert [got[i] for i in range(12, 23)] == common
+    copies = documents(spark, ["secret=abcdefgh"] * 12, sources=[f"s{i}" for i in range(12)])
+    assert {r.text for r in secrets.mask(copies, base_owners=secrets.EXAMPLE_OWNERS).collect()} == {"[secret]"}
+
+
 # op2
 
 

@@ -27,6 +27,8 @@ KINDS = [
 ]
 #: The kind that the method adds: long mixed tokens, kept where they are owner-specific.
 OWNED = ("owned", r"[A-Za-z0-9_-]{24,}", 0, 24)
+#: Owners of a base kind's value up to which a stage that masks should take it for a secret.
+EXAMPLE_OWNERS = 10
 SPAN = "array<struct<start:int,ord:int,stop:int,value:string>>"
 
 
@@ -52,29 +54,38 @@ def looks_random(value: Column) -> Column:
     return (F.length(digits) >= 4) & (F.length(letters) >= 4) & (F.size(F.array_distinct(F.split(value, ""))) >= 10)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "source", owner: str | None = None, max_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "source", owner: str | None = None, max_owners: int = 1, base_owners: int | None = None) -> DataFrame:
     """One row per document: (key, row_key, base, extra), arrays of (start, ord, stop, value_hash, n_repos, n_owners, live).
 
     base holds the spans of KINDS, extra those of OWNED that touch no base span and are live. live:
-    the value is random-looking and at most `max_owners` owners have it. A null text has no spans,
+    the value is random-looking and at most `max_owners` owners have it. With `base_owners` base spans
+    need not look random, and are live where at most so many owners have the value; exact copies of
+    a text then have one repository and owner, the least. A null text has no spans,
     a null repository or owner counts as one of its own; rows that agree in key and text have equal results, and
     each gives a row. Other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"), F.col(repo).alias("repo"), F.col(owner or repo).alias("owner"))
-    base = rows.select("key", F.xxhash64("key", "body").alias("row_key"), "repo", "owner", *[matches(F.col("body"), k, i).alias(f"s{i}") for i, k in enumerate([*KINDS, OWNED])])
+    copies = [] if base_owners is None else ["copy"]
+    base = rows.withColumn("copy", F.xxhash64("body")).select("key", F.xxhash64("key", "body").alias("row_key"), *copies, "repo", "owner", *[matches(F.col("body"), k, i).alias(f"s{i}") for i, k in enumerate([*KINDS, OWNED])])
     base = base.withColumn("base", F.array_sort(F.concat(*[F.col(f"s{i}") for i in range(len(KINDS))])))
     free = F.filter(f"s{len(KINDS)}", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])) & looks_random(x["value"]))
     base = base.withColumn("spans", F.transform(F.concat("base", free), lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["stop"].alias("stop"), F.sha2(x["value"], 256).alias("hash"), looks_random(x["value"]).alias("random"))))
-    base = materialize(base.select("key", "row_key", "repo", "owner", "spans"), "secret-spans")
-    each = base.select("key", "row_key", "repo", "owner", F.explode("spans").alias("x"))
+    base = materialize(base.select("key", "row_key", *copies, "repo", "owner", "spans"), "secret-spans")
+    each = base.select("key", "row_key", *copies, "repo", "owner", F.explode("spans").alias("x"))
     # one row per value and owner first, so that a value in a third of all documents is combined before the shuffle
-    owners = each.select(F.col("x.hash").alias("hash"), "repo", "owner").distinct().groupBy("hash").agg(
+    held = each.select(F.col("x.hash").alias("hash"), *copies, "repo", "owner")
+    if copies:
+        held = held.groupBy("hash", "copy").agg(F.min("repo").alias("repo"), F.min("owner").alias("owner")).drop("copy")
+    owners = held.distinct().groupBy("hash").agg(
         F.count_distinct(F.coalesce(F.concat(F.lit("="), "repo"), F.lit("-"))).alias("n_repos"), F.count_distinct(F.coalesce(F.concat(F.lit("="), "owner"), F.lit("-"))).alias("n_owners")
     )
     judged = each.join(owners, F.col("x.hash") == F.col("hash"))
+    live = F.col("x.random") & (F.col("n_owners") <= max_owners)
+    if base_owners is not None:
+        live = F.when(F.col("x.ord") < len(KINDS), F.col("n_owners") <= base_owners).otherwise(live)
     span = F.struct(
         F.col("x.start").alias("start"), F.col("x.ord").alias("ord"), F.col("x.stop").alias("stop"), F.col("hash").alias("value_hash"),
-        "n_repos", "n_owners", (F.col("x.random") & (F.col("n_owners") <= max_owners)).alias("live"),
+        "n_repos", "n_owners", live.alias("live"),
     )
     per_row = judged.groupBy(F.col("row_key").alias("row_of"), F.col("key").alias("key_of")).agg(F.array_sort(F.collect_set(span)).alias("all"))
     out = base.join(per_row, (F.col("row_key") == F.col("row_of")) & F.col("key").eqNullSafe(F.col("key_of")), "left")
@@ -94,9 +105,9 @@ def said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["ord"]], x["start"], x["stop"])), ",")
 
 
-def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "source", by: str = "[secret]", max_owners: int = 1) -> DataFrame:
+def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "source", by: str = "[secret]", max_owners: int = 1, base_owners: int | None = None) -> DataFrame:
     """docs with the characters of live spans replaced by `by`; examples that many owners share stay as they are."""
-    found = scan(docs, key, text, repo, max_owners=max_owners)
+    found = scan(docs, key, text, repo, max_owners=max_owners, base_owners=base_owners)
     live = F.array_sort(F.filter(F.concat("base", "extra"), lambda x: x["live"]))
     found = found.where(F.exists(F.concat("base", "extra"), lambda x: x["live"])).select("row_key", live.alias("live_spans")).dropDuplicates(["row_key"])
     docs = docs.withColumn("mask_key", F.xxhash64(key, F.coalesce(F.col(text), F.lit("")))).join(found.withColumnRenamed("row_key", "mask_key"), "mask_key", "left")
