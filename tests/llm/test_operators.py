@@ -103,6 +103,15 @@ def test_languages_are_told_apart_and_strangers_rejected(spark):
     assert language_id.keep_known(documents(spark, tests), fitted).count() == 40
 
 
+@pytest.mark.parametrize("common", [150, 60, 5])
+def test_a_rare_language_does_not_accept_an_unlearned_script(spark, common):
+    few = texts_in("hijkl", 5, 6)
+    docs = documents(spark, texts_in("abcde", common, 1) + texts_in("cdefg", common, 2) + few, langs=["x"] * common + ["y"] * common + ["rare"] * 5)
+    tests = texts_in("абвгд", 5, 5) + texts_in("你好吗中文字", 5, 6) + texts_in("abcde", 10, 3) + texts_in("cdefg", 10, 4)
+    got = language_id.identify(documents(spark, tests), language_id.fit(docs)).orderBy("doc_id").collect()
+    assert [r.accepted for r in got] == [False] * 10 + [True] * 20
+
+
 def test_kneser_ney_sums_to_one():
     grams = Counter()
     text = "   the theme of the thing "

@@ -26,6 +26,8 @@ CALIBRATION_TENTHS = 2
 #: A document is rejected beyond SLACK times the excess that calibration documents stay under; those
 #: of LONG characters and more give its constant part, shorter ones the part that falls with length.
 SLACK, QUANTILE, LONG = 3.0, 0.999, 200
+#: A language with fewer calibration documents takes the limit of those that have as many, together.
+CALIBRATED = 20
 UNKNOWN = "und"
 TABLE_BITS = 20
 #: Characters hashed at a time; a longer text is one batch of its own.
@@ -252,6 +254,14 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def limit(h: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """(mean, reach, reach of short texts) from calibration documents' cross-entropies and sizes."""
+    mean = float((h * n).sum() / n.sum())
+    excess = np.maximum(h - mean, 0)
+    reach, short = ((float(np.quantile(x, QUANTILE)) if len(x) else 0.0) for x in (excess[n >= LONG], (excess * np.sqrt(n))[n < LONG]))
+    return mean, SLACK * (reach or 0.1), SLACK * (short or 2.0)
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], list[dict], list[tuple[float, float, float]]]:
     """Languages, their models and their (mean, reach, reach of short texts) for rejection, from labelled rows.
 
@@ -285,16 +295,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 yield pa.RecordBatch.from_arrays([pa.array(langs[part]).filter(pa.array(ok)), pa.array(h[np.arange(len(own)), own][ok]), pa.array(sizes[ok]), pa.array(letters[ok])], names=["lang", "h", "n", "letters"])
 
     seen = rows.where(held).select("lang", "text").mapInArrow(residuals, "lang string, h double, n long, letters long").where("letters > 0").collect()
+    excerpt = {x: tuple(np.array([r[c] for r in seen if r["lang"] == x], float) for c in ("h", "n")) for x in names}
+    sure = [x for x in names if len(excerpt[x][0]) >= CALIBRATED] or names
+    pooled = tuple(np.concatenate([excerpt[x][c] for x in sure] or [np.empty(0)]) for c in (0, 1))
     limits = []
-    for x in names:
-        h, n = (np.array([r[c] for r in seen if r["lang"] == x], float) for c in ("h", "n"))
-        if len(h) < 20:  # too few to calibrate: nothing is rejected
-            limits.append((0.0, float("inf"), 0.0))
-            continue
-        mean = float((h * n).sum() / n.sum())
-        excess = np.maximum(h - mean, 0)
-        reach, short = ((float(np.quantile(x, QUANTILE)) if len(x) else 0.0) for x in (excess[n >= LONG], (excess * np.sqrt(n))[n < LONG]))
-        limits.append((mean, SLACK * (reach or 0.1), SLACK * (short or 2.0)))
+    for x, model in zip(names, models, strict=True):
+        own = excerpt[x] if len(excerpt[x][0]) >= CALIBRATED else pooled
+        # too few even together: no text may cost more than its model's own characters in random order
+        limits.append(limit(*own) if len(own[0]) >= CALIBRATED else (-model["floor"], 0.0, 0.0))
     return names, models, limits
 
 
