@@ -1,12 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus.
-
-The reference is the corpus itself, cut into blocks by anchor hash: each block indexes the anchor
-runs that fall to it, with their contexts. A document's runs are looked up in their blocks; a run
-whose context is found elsewhere extends the current copy factor, the others end it. At a factor's
-boundaries, where an anchor is known but its context differs, single windows are looked up to find
-where the factor begins and ends exactly. Factors of at least 35 words are duplicate spans; since
-each window is judged on its own, a repeat that greedy factoring would split over two short
-factors is found as well. See repeats.py.
+"""Substring dedup of words by an anchored window join.
+
+This takes the place of relative Lempel-Ziv parsing: no parse is built. Anchor runs whose whole
+context is found elsewhere are duplicates; where an anchor is known but its context differs, single
+windows of 35 words are looked up. `factors` are the maximal runs of words that repeated windows
+cover. See repeats.py.
 """
 
 from __future__ import annotations
