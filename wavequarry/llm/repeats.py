@@ -11,23 +11,28 @@ Frequent text doesn't meet in one task. Within a document only the first run of
 among some hundred thousand rows of a task only one of a context is, the others' verdicts being
 known. Anchors that are frequent in a sample of documents are dealt out by context, and all their
 contexts are expanded: the sample decides where rows go, never what becomes of them.
+
+With `factoring`, round two doesn't send single windows but whole contexts, as blocks that are
+factored against all other blocks of their anchor (factors.py). Windows remain the way for anchors
+too frequent for a block index in one task: those in the list, and any whose group turns out to be.
 """
 
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from . import factors
 from .anchors import SEGMENT, byte_symbols, document_runs, mix, prefix, substrings, word_symbols
 from .common import materialize
 
-FULL, EXPAND = 1, 2
+FULL, EXPAND, HOT = 1, 2, 4
 LAST_KEY = (1 << 63) - 1
 BATCH = 256
 #: Rows of a task that are combined before they are sent.
@@ -51,6 +56,8 @@ ROWS = "a long, b long, key long, tag long"
 #: Bits of the second names that are given up: a context's keeps 62, so that its sign can tell frequent
 #: anchors and none is DONE, a window's 63.
 CONTEXT_SHIFT, WINDOW_SHIFT = 2, 1
+#: part of a row that is a single window, whose tag holds its start and not a run's number; factors have smaller ones.
+WINDOW = 1 << 16
 #: b of a row whose verdict, FULL, is known; a says where it goes.
 DONE = -(1 << 63)
 
@@ -138,67 +145,101 @@ def anchors_for(kind: str, k: int, size: int):
     return find
 
 
-def label_for(by_order: bool):
-    """From rows (a, b, key, tag) sorted by them to (key, tag, kind); those that are DONE only pass through.
+class Labels:
+    """From columns a, b, key, tag sorted by them to (key, tag, kind); rows that are DONE only pass through.
 
     FULL: the row's (a, b) occurs with a smaller key (by_order), or more than once. EXPAND: the
     row stands for its (a, b), and others with the same a differ in b (and, by_order, in key).
+    HOT: its anchor is a frequent one, whose other contexts are elsewhere.
     """
 
-    def label(batches):
-        held, multi_before, more_before = None, False, False
-        for batch in chain(batches, [None]):
-            if batch is None:
-                if held is not None:
-                    kind = EXPAND * (multi_before or bool(held[1][0] < 0)) + FULL * (more_before and not by_order)
-                    if kind:
-                        yield made(held[2], held[3], np.array([kind], np.int8))
-                return
-            columns = [batch.column(i).to_numpy() for i in range(4)]
-            done = columns[1] == DONE
-            if done.any():
-                yield made(columns[2][done], columns[3][done], np.full(int(done.sum()), FULL, np.int8))
-                columns = [c[~done] for c in columns]
-            if held is not None:
-                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
-            a, b, key, tag = columns
-            if not len(a):
-                continue
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            start = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            many = np.diff(np.append(start, len(a))) > 1
-            many[0] |= more_before
-            same = a[start[1:]] == a[start[:-1]]
-            before = np.concatenate(([multi_before], same))
-            multi = before | np.append(same, False)
-            if by_order:
-                full = key > key[start][group]
-                # an anchor of one document only can't remove anything; at a batch's ends that isn't known
-                top = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                several = np.minimum.reduceat(key, top) != np.maximum.reduceat(key, top)
-                several[-1] = True
-                several[0] |= held is not None
-                sure = multi.copy()
-                sure[-1] = True
-                expand = ~full & sure[group] & several[np.searchsorted(top, np.arange(len(a)), side="right") - 1]
-                expand |= ~full & (b < 0)
-            else:
-                full = many[group]
-                expand = new & (multi[group] | (b < 0))
-            kind = (full * FULL + expand * EXPAND).astype(np.int8)  # b < 0: a frequent anchor, whose other contexts are elsewhere
-            last = start[-1]
-            held, multi_before, more_before = [c[last : last + 1] for c in columns], bool(before[-1]), bool(many[-1])
-            kind[last] = 0
-            out = np.flatnonzero(kind)
-            yield made(key[out], tag[out], kind[out])
+    def __init__(self, by_order: bool) -> None:
+        self.by_order, self.held, self.multi_before, self.more_before = by_order, None, False, False
+
+    def push(self, columns: list[np.ndarray]):
+        done = columns[1] == DONE
+        if done.any():
+            yield self.made(columns[2][done], columns[3][done], np.full(int(done.sum()), FULL, np.int8))
+            columns = [c[~done] for c in columns]
+        held = self.held
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+        a, b, key, tag = columns
+        if not len(a):
+            return
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        many = np.diff(np.append(start, len(a))) > 1
+        many[0] |= self.more_before
+        same = a[start[1:]] == a[start[:-1]]
+        before = np.concatenate(([self.multi_before], same))
+        multi = before | np.append(same, False)
+        if self.by_order:
+            full = key > key[start][group]
+            # an anchor of one document only can't remove anything; at a batch's ends that isn't known
+            top = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            several = np.minimum.reduceat(key, top) != np.maximum.reduceat(key, top)
+            several[-1] = True
+            several[0] |= held is not None
+            sure = multi.copy()
+            sure[-1] = True
+            expand = ~full & sure[group] & several[np.searchsorted(top, np.arange(len(a)), side="right") - 1]
+            expand |= ~full & (b < 0)
+        else:
+            full = many[group]
+            expand = new & (multi[group] | (b < 0))
+        kind = (full * FULL + expand * EXPAND + (expand & (b < 0)) * HOT).astype(np.int8)
+        last = start[-1]
+        self.held, self.multi_before, self.more_before = [c[last : last + 1] for c in columns], bool(before[-1]), bool(many[-1])
+        kind[last] = 0
+        out = np.flatnonzero(kind)
+        yield self.made(key[out], tag[out], kind[out])
+
+    def end(self):
+        if self.held is not None:
+            hot = bool(self.held[1][0] < 0)
+            kind = EXPAND * (self.multi_before or hot) + HOT * hot + FULL * (self.more_before and not self.by_order)
+            if kind:
+                yield self.made(self.held[2], self.held[3], np.array([kind], np.int8))
 
+    @staticmethod
     def made(key, tag, kind):
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag), pa.array(kind)], names=["key", "tag", "kind"])
 
+
+def label_for(by_order: bool):
+    def label(batches):
+        labels = Labels(by_order)
+        for batch in batches:
+            yield from labels.push([batch.column(i).to_numpy() for i in range(4)])
+        yield from labels.end()
+
     return label
 
 
+def settle_for(size: int, most: int):
+    """(key, tag, part): WINDOW for each repeated window, and what factors.Blocks gives for each block (a row with symbols)."""
+
+    def settled(found):
+        for batch in found:
+            full = batch.filter(pa.array(batch.column(2).to_numpy() & FULL > 0))
+            yield pa.RecordBatch.from_arrays([full.column(0), full.column(1), pa.array(np.full(len(full), WINDOW))], names=["key", "tag", "part"])
+
+    def settle(batches):
+        labels, blocks = Labels(False), factors.Blocks(size, most)
+        for batch in batches:
+            block = batch.column(4).is_valid()
+            windows, own = batch.filter(pa.compute.invert(block)), batch.filter(block)
+            yield from settled(labels.push([windows.column(i).to_numpy() for i in range(4)]))
+            if len(own):
+                yield from blocks.push(zip(*(own.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True))
+        yield from settled(labels.end())
+        yield from blocks.end()
+
+    return settle
+
+
 def labelled(rows: DataFrame, by_order: bool) -> DataFrame:
     place = F.when((F.col("b") < 0) & (F.col("b") > DONE), F.xxhash64("a", "b")).otherwise(F.col("a"))  # frequent anchors by context
     rows = rows.repartition(place).sortWithinPartitions("a", "b", "key", "tag")
@@ -212,10 +253,28 @@ def lists(batch: pa.RecordBatch, i: int, column: int):
     return part.values.to_numpy(zero_copy_only=False), offsets
 
 
-def windows_for(kind: str, k: int, size: int, by_order: bool):
-    """Single windows of the runs to be expanded: hashes of the first and the last `half` symbols."""
+def windows_for(kind: str, k: int, size: int, by_order: bool, factoring: bool = False):
+    """Single windows of the runs to be expanded: hashes of the first and the last `half` symbols.
+
+    With `factoring` a run's number comes doubled, and one more for windows; other runs give one row, a
+    block, with all their symbols.
+    """
     half = size * 2 // 3
 
+    def blocks_of(keys, data, found, values, offsets, symbols):
+        parts: list[tuple] = []
+        for d, (first, last, anchor, _) in enumerate(found):
+            chosen = np.unique(values[offsets[d] : offsets[d + 1]])
+            chosen = chosen[chosen & 1 == 0] >> 1
+            tag = tags([data[d]], [len(chosen)], chosen).tolist()
+            for n, t in zip(chosen.tolist(), tag, strict=True):
+                parts.append((int(anchor[n].view(np.int64)), 0, int(keys[d]), t, symbols[d][first[n] : last[n] + size].tobytes()))
+        columns = zip(*parts, strict=True) if parts else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["a", "b", "key", "tag", "symbols"])
+
+    def widened(batch):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.binary())], names=["a", "b", "key", "tag", "symbols"]) if factoring else batch
+
     def expand(batches):
         sent, row = Sent(by_order, False), 0
         for batch in batches:
@@ -225,8 +284,13 @@ def windows_for(kind: str, k: int, size: int, by_order: bool):
                 symbols = [symbols_of(kind, d) for d in data]
                 values, offsets = lists(batch, i, 2)
                 parts, counts, numbers = [], [], []
-                for d, (first, last, _, _) in enumerate(document_runs(symbols, k, size)):
+                found = list(document_runs(symbols, k, size))
+                if factoring:
+                    yield blocks_of(keys, data, found, values, offsets, symbols)
+                for d, (first, last, _, _) in enumerate(found):
                     chosen = np.unique(values[offsets[d] : offsets[d + 1]])
+                    if factoring:
+                        chosen = chosen[chosen & 1 == 1] >> 1
                     n = last[chosen] - first[chosen] + 1
                     at = np.repeat(first[chosen] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                     pairs = []
@@ -241,9 +305,9 @@ def windows_for(kind: str, k: int, size: int, by_order: bool):
                 rows = np.repeat(np.arange(row, row + len(data)), counts)
                 row += len(data)
                 if out := sent.add(a, (b.view(np.uint64) >> np.uint64(WINDOW_SHIFT)).astype(np.int64), np.repeat(keys, counts), tags(data, counts, np.concatenate(numbers)), rows):
-                    yield out
+                    yield widened(out)
         if sent.parts:
-            yield sent.flush()
+            yield widened(sent.flush())
 
     return expand
 
@@ -255,23 +319,27 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 def spread(marks: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, context: np.ndarray, size: int):
     """Starts and stops that a document's marks stand for: a verdict on one run holds for all with its anchor and context.
 
-    A mark is twice a FULL run's number, or twice a repeated window's start and one.
+    A mark's last two bits tell what it is: 0 a FULL run's number, 1 a repeated window's start, 2 a factor of a
+    run: the run's number, the first of its windows (8 bits) and their number (8 bits).
     """
-    numbers, single = marks >> 1, marks & 1
+    numbers, what = marks >> 2, marks & 3
     _, same = np.unique(mix(anchor + mix(context.copy())), return_inverse=True)
     full = np.zeros(same.max(initial=-1) + 1, bool)
-    full[same[numbers[single == 0]]] = True
+    full[same[numbers[what == 0]]] = True
     whole = np.flatnonzero(full[same])
     yield first[whole], last[whole] + size
-    at = np.unique(numbers[single == 1])
+    at = np.unique(numbers[what == 1])
+    run, reach = np.searchsorted(first, at, side="right") - 1, np.ones(len(at), np.int64)
+    factor = numbers[what == 2]
+    run, reach = np.concatenate([run, factor >> 16]), np.concatenate([reach, factor & 255])
+    at = np.concatenate([at, first[factor >> 16] + (factor >> 8 & 255)])
     if len(at):
-        run = np.searchsorted(first, at, side="right") - 1
         order = np.argsort(same, kind="stable")
         begin = np.searchsorted(same[order], same[run])
         count = np.searchsorted(same[order], same[run], side="right") - begin
         which = order[np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
         start = first[which] + np.repeat(at - first[run], count)
-        yield start, start + size
+        yield start, start + np.repeat(reach, count) + size - 1
 
 
 def cover_for(kind: str, k: int, size: int, finish, kinds: list[pa.DataType]):
@@ -299,15 +367,19 @@ def cover_for(kind: str, k: int, size: int, finish, kinds: list[pa.DataType]):
     return cover
 
 
-def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int, by_order: bool, finish, kinds: list[pa.DataType]) -> DataFrame:
+def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int, by_order: bool, finish, kinds: list[pa.DataType], factoring: bool = False) -> DataFrame:
     """Apply finish() to every row's text and the mask of its symbols that repeated windows of `size` symbols cover.
 
     by_order: a window counts where it starts in a document with a smaller key, else where it
     starts anywhere else. A null key is never smaller than another nor larger than a null one.
+    factoring: not with by_order; at most 255 windows may share an anchor.
     """
+    if factoring and (by_order or size - k >= 255):
+        raise ValueError("blocks of this kind can't be factored")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("sum", F.crc32(F.encode("text", "UTF-8")))
-    of = lambda df, keep: df.where(keep).select("key", F.shiftrightunsigned("tag", 32).alias("sum"), F.col("tag").bitwiseAND(0xFFFFFFFF).alias("number"))
+    number, is_ = F.col("tag").bitwiseAND(0xFFFFFFFF), lambda bit: F.col("kind").bitwiseAND(bit) > 0
+    of = lambda df, what: df.select("key", F.shiftrightunsigned("tag", 32).alias("sum"), what.alias("number"))
 
     def frequent():
         chosen = rows.where(F.pmod(F.xxhash64(F.lit(5), "key", "sum"), F.lit(SAMPLE)) == 0).select("key", "text")
@@ -319,16 +391,27 @@ def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int,
         found = rows.select("key", "text").mapInArrow(runs_for(kind, k, size, by_order, frequent()), ROWS)
         return materialize(labelled(found, by_order), "repeats-runs")
 
-    def second_round(runs):
-        want = of(runs, F.col("kind").bitwiseAND(EXPAND) > 0).groupBy("key", "sum").agg(F.collect_list("number").alias("numbers"))
+    def second_round(want):
+        want = want.groupBy("key", "sum").agg(F.collect_list("number").alias("numbers"))
         chosen = rows.select("key", "sum", "text").join(want, ["key", "sum"]).select("key", "text", "numbers")
-        found = chosen.mapInArrow(windows_for(kind, k, size, by_order), ROWS)
-        return materialize(labelled(found, by_order).where(F.col("kind").bitwiseAND(FULL) > 0), "repeats-windows")
+        make = windows_for(kind, k, size, by_order, factoring)
+        if not factoring:
+            return materialize(labelled(chosen.mapInArrow(make, ROWS), by_order).where(is_(FULL)), "repeats-windows")
+        found = chosen.mapInArrow(make, ROWS + ", symbols binary")
+        found = found.repartition(F.col("a")).sortWithinPartitions("a", "b", "key", "tag")
+        return materialize(found.mapInArrow(settle_for(size, factors.MOST), "key long, tag long, part long"), "repeats-factors")
 
     runs = first_round()
-    windows = second_round(runs)
-    marks = of(runs, F.col("kind").bitwiseAND(FULL) > 0).select("key", "sum", (F.col("number") * 2).alias("number"))
-    marks = marks.union(of(windows, F.lit(True)).select("key", "sum", (F.col("number") * 2 + 1).alias("number")))
+    marks = of(runs.where(is_(FULL)), number * 4)
+    if factoring:
+        rounds = [second_round(of(runs.where(is_(EXPAND)), number * 2 + is_(HOT).cast("long")))]
+        again = rounds[0].where("part = -1")
+        if not again.isEmpty():
+            rounds.append(second_round(of(again, number * 2 + 1)))
+        for found in rounds:
+            marks = marks.union(of(found.where("part <> -1"), F.when(F.col("part") == WINDOW, number * 4 + 1).otherwise((F.shiftleft(number, 16) + F.col("part")) * 4 + 2)))
+    else:
+        marks = marks.union(of(second_round(of(runs.where(is_(EXPAND)), number)), number * 4 + 1))
     marks = marks.groupBy("key", "sum").agg(F.collect_list("number").alias("numbers"))
     none = F.array().cast("array<bigint>")
     joined = rows.join(marks, ["key", "sum"], "left").select("id", "text", F.coalesce("numbers", none).alias("numbers"))
