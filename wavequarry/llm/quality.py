@@ -1,9 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-Native DataFrame operations only. Each rule rejects documents whose measure reaches a cutoff. For
-every stratum, rule and candidate cutoff the labelled good documents that it would reject are
-counted, and the cutoff is used only where an exact binomial test at the corrected level shows
-that it rejects less than `risk` of the stratum's good documents; the strictest such cutoff wins.
+Native DataFrame operations only. A document is rejected if any of its measures reaches that rule's
+cutoff. The labelled documents are a holdout: for every stratum and every combination of cutoffs
+(rules may also be left out) the good documents that the combination as a whole would reject are
+counted. A combination may be used only where an exact binomial test shows that it rejects less
+than `risk` of the stratum's good documents, at a level corrected for the number of combinations
+and strata. Of those the one that catches most labelled bad documents is chosen.
 """
 
 from __future__ import annotations
@@ -91,40 +93,64 @@ def log_factorial(n: Column) -> Column:
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed downward from k; terms beyond 12 standard deviations are below 1e-30."""
+    """P(X <= k) for X ~ Binomial(n, p), or slightly more: summed downward from k.
+
+    After 12 standard deviations the terms left, none above the last one, are added as so many times it.
+    """
     k, n = k.cast("long"), n.cast("long")
     top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p))
     most = F.least(k, (40 + 12 * F.sqrt(n * p * (1 - p))).cast("long"))
     sums = F.aggregate(
         F.sequence(F.lit(0).cast("long"), most), F.struct(top.alias("term"), F.lit(0.0).alias("sum")),
-        lambda acc, j: F.struct((acc["term"] * (k - j) * ((1 - p) / p) / (n - k + j + 1)).alias("term"), (acc["sum"] + acc["term"]).alias("sum")), lambda acc: acc["sum"],
+        lambda acc, j: F.struct((acc["term"] * (k - j) * ((1 - p) / p) / (n - k + j + 1)).alias("term"), (acc["sum"] + acc["term"]).alias("sum")),
+        lambda acc: acc["sum"] + acc["term"] * (k - most),
     )
     return F.when(k > n * p, F.lit(1.0)).otherwise(sums)
 
 
+def stratum_of(stratum: str) -> Column:
+    """A name for each stratum; null is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("-"))
+
+
 def certify(rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoff certified for each stratum and rule; none where none is.
+    """(stratum, n, k, caught, and a cutoff for each rule, null where it is left out) for each stratum with a certified combination.
 
-    rows: key, stratum and the measures; labels: key, good. A key with several labels is good if one
-    says so. The level is delta over the number of tests, strata included (Bonferroni).
+    rows: key, stratum and the measures; labels: key, good. A key counts once in a stratum, however
+    many rows it has: it is rejected if one of them is, and good if one of its labels says so. The
+    level is delta over the number of tests: combinations times strata (Bonferroni). Ties go to
+    fewer good documents rejected, then to laxer cutoffs. Where no bad document is caught none is chosen.
     """
-    labels = labels.dropna().groupBy("key").agg(F.max("good").alias("good")).where("good = 1")
-    held = rows.join(labels, "key").withColumn("stratum", F.coalesce("stratum", F.lit("")))
-    tried = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (F.col(r) >= c).alias("hit")) for r, cs in RULES.items() for c in cs])).alias("t")
-    # a stratum's good documents are combined to one row per rule and cutoff before the shuffle
-    counts = held.select("stratum", tried).groupBy("stratum", "t.rule", "t.cutoff").agg(F.count("*").alias("n"), F.sum(F.col("t.hit").cast("long")).alias("k"))
-    per_stratum = sum(map(len, RULES.values()))
+    labels = labels.dropna().groupBy("key").agg(F.max("good").alias("good"))
+    reached = [sum((F.col(r) >= c).cast("int") for c in cs).alias(f"level_{r}") for r, cs in RULES.items()]
+    held = rows.select("key", stratum_of("stratum").alias("stratum"), *reached).join(labels, "key")
+    held = held.groupBy("stratum", "key").agg(*[F.max(f"level_{r}").alias(f"level_{r}") for r in RULES], F.max("good").alias("good"))
+    counts = held.groupBy("stratum", *[f"level_{r}" for r in RULES]).agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    # a few hundred rows a stratum are left; each meets every combination of levels
+    hit = F.lit(False)
+    for r, cs in RULES.items():
+        counts = counts.withColumn(f"at_{r}", F.explode(F.sequence(F.lit(1), F.lit(len(cs) + 1))))
+        hit = hit | (F.col(f"level_{r}") >= F.col(f"at_{r}"))
+    at = [f"at_{r}" for r in RULES]
+    own = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0))
+    counts = counts.groupBy("stratum", *at).agg(F.sum("good").alias("n"), own("good").alias("k"), own("bad").alias("caught"))
     strata = counts.agg(F.count_distinct("stratum").alias("strata"))  # one row
-    counts = counts.join(F.broadcast(strata)).where(binomial_cdf(F.col("k"), F.col("n"), risk) <= F.lit(delta) / (per_stratum * F.col("strata")))
-    return counts.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    tests = math.prod(len(cs) + 1 for cs in RULES.values()) - 1
+    sure = counts.where("caught > 0").join(F.broadcast(strata)).where(binomial_cdf(F.col("k"), F.col("n"), risk) <= F.lit(delta) / (tests * F.col("strata")))
+    best = sure.groupBy("stratum").agg(F.max(F.struct("caught", (-F.col("k")).alias("less"), "n", *at)).alias("b"))
+    cutoff = [F.get(F.array(*map(F.lit, cs)), F.col(f"b.at_{r}") - 1).alias(r) for r, cs in RULES.items()]
+    return best.select("stratum", "b.n", (-F.col("b.less")).alias("k"), "b.caught", *cutoff)
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """measure() with base_failed and kept for each row; a null key has no label, a null stratum is one of its own."""
+    """measure() with base_failed and kept for each row; a null key has no label, a null stratum is one of its own.
+
+    A null text has no words and fails the base rules. Repeated rows give a row each; other columns are ignored.
+    """
     rows = materialize(shares(measure(docs, key, text, stratum)), "quality-measures")
     cuts = certify(rows, labels.select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("good")), risk, delta)
-    wide = cuts.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
-    rows = rows.join(wide.withColumnRenamed("stratum", "cut_stratum"), F.coalesce("stratum", F.lit("")) == F.col("cut_stratum"), "left")
+    cuts = cuts.select(F.col("stratum").alias("cut_stratum"), *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    rows = rows.join(cuts, stratum_of("stratum") == F.col("cut_stratum"), "left")
     hit = F.lit(False)
     for r in RULES:
         hit = hit | F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False))
@@ -137,6 +163,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_HIT = " OR ".join(f"coalesce({r} >= v_{r}, false)" for r in RULES)
 OP5_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT id, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
@@ -144,22 +171,21 @@ w AS (SELECT id, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambd
 win AS (SELECT id, i, list_aggregate(ws[i:i + 7], 'string_agg', ' ') AS s FROM (SELECT id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
 dup AS (SELECT id, i FROM win QUALIFY count(*) OVER (PARTITION BY id, s) > 1),
 cov AS (SELECT id, sum(least(8, coalesce(i - p, 8))) AS n FROM (SELECT id, i, lag(i) OVER (PARTITION BY id ORDER BY i) AS p FROM dup) GROUP BY id),
-m AS (SELECT id, doc_id, coalesce(lang, '') AS stratum, len(ws) AS n_words, len(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+m AS (SELECT id, doc_id, coalesce('=' || lang, '-') AS stratum, len(ws) AS n_words, len(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
              len(t) - len(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
              CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN w USING (id) LEFT JOIN cov USING (id)),
 s AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
              CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share FROM m),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) > 0),
-rules(rule, cutoff) AS (VALUES {", ".join(f"('{r}', {c}::DOUBLE)" for r, cs in RULES.items() for c in cs)}),
-cnt AS (SELECT stratum, rule, cutoff, count(*) AS n,
-               count(*) FILTER (CASE rule WHEN 'symbol_share' THEN symbol_share WHEN 'dup_line_share' THEN dup_line_share ELSE repeat_share END >= cutoff) AS k
-        FROM s JOIN good USING (doc_id), rules GROUP BY ALL),
-sig AS (SELECT stratum, rule, cutoff FROM cnt, (SELECT count(DISTINCT stratum) AS strata FROM cnt)
-        WHERE k <= n * {RISK} AND list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))))
-              <= {DELTA} / ({sum(map(len, RULES.values()))} * strata)),
-cut AS (SELECT stratum, min(cutoff) FILTER (rule = 'symbol_share') AS c1, min(cutoff) FILTER (rule = 'dup_line_share') AS c2, min(cutoff) FILTER (rule = 'repeat_share') AS c3 FROM sig GROUP BY stratum)
+good AS (SELECT doc_id, max(CASE WHEN quality > 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT stratum, doc_id, max(symbol_share) AS symbol_share, max(dup_line_share) AS dup_line_share, max(repeat_share) AS repeat_share, max(good) AS good FROM s JOIN good USING (doc_id) GROUP BY ALL),
+{", ".join(f"c_{r}(a_{r}, v_{r}) AS (VALUES {', '.join(f'({i + 1}, {c}::DOUBLE)' for i, c in enumerate([*cs, math.inf]) if c < math.inf)}, ({len(cs) + 1}, NULL))" for r, cs in RULES.items())},
+cnt AS (SELECT stratum, {", ".join(f"a_{r}, v_{r}" for r in RULES)}, sum(good) AS n, coalesce(sum(good) FILTER ({_HIT}), 0) AS k, count(*) FILTER (good = 0 AND ({_HIT})) AS caught
+        FROM held, {", ".join(f"c_{r}" for r in RULES)} WHERE {" OR ".join(f"v_{r} IS NOT NULL" for r in RULES)} GROUP BY ALL),
+sig AS (SELECT * FROM cnt, (SELECT count(DISTINCT stratum) AS strata FROM held)
+        WHERE caught > 0 AND k <= n * {RISK} AND list_sum(list_transform(range(CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))))
+              <= {DELTA} / ({math.prod(len(cs) + 1 for cs in RULES.values()) - 1} * strata)),
+cut AS (SELECT stratum, {", ".join(f"v_{r}" for r in RULES)} FROM sig QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY caught DESC, k, {", ".join(f"a_{r} DESC" for r in RULES)}) = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(symbol_share >= c1, false) AND NOT coalesce(dup_line_share >= c2, false)
-       AND NOT coalesce(repeat_share >= c3, false) AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT ({_HIT}) AS kept
 FROM s LEFT JOIN cut USING (stratum)
 """
