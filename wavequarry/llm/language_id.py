@@ -5,7 +5,7 @@ space. Probabilities are stored in back-off form: a sorted array of 64-bit n-gra
 their log probabilities, and one of context hashes beside their back-off weights. A batch of texts
 is hashed at once, each distinct 4-gram is looked up once per language, and per-document sums give
 the cross-entropy per character. The lowest one wins; it is rejected where it lies further above
-its language's mean than labelled documents that the model has not seen ever do.
+its language's mean than all but a stated share of labelled documents that the model has not seen.
 """
 
 from __future__ import annotations
@@ -23,9 +23,12 @@ ORDER = 4
 SAMPLE = 2000
 #: Of ten sampled documents this many calibrate the rejection instead of being counted.
 CALIBRATION_TENTHS = 2
-#: A document is rejected beyond SLACK times the excess that calibration documents stay under; those
-#: of LONG characters and more give its constant part, shorter ones the part that falls with length.
-SLACK, QUANTILE, LONG = 3.0, 0.999, 200
+#: Share of a language's documents that may be rejected: the limit is the order statistic of the
+#: calibration documents' excess that a further one passes with this probability at most (split
+#: conformal). With under 1 / FALSE_REJECTION of them it is their largest, at a rate of 1 / (n + 1).
+FALSE_REJECTION = 0.005
+#: Documents under LONG characters tell how the excess grows as they get shorter, the others what is left of it.
+LONG = 200
 #: A language with fewer calibration documents takes the limit of those that have as many, together.
 CALIBRATED = 20
 UNKNOWN = "und"
@@ -197,7 +200,7 @@ def entropies(models: list[dict], texts: list[str]) -> tuple[np.ndarray, np.ndar
     return out, sizes, letters
 
 
-def judge_for(names: list[str], models: list[dict], limits: list[tuple[float, float, float]]):
+def judge_for(names: list[str], models: list[dict], limits: list[tuple]):
     """Language, score, cross-entropy and acceptance of each of some texts."""
 
     def judged(own):
@@ -209,8 +212,8 @@ def judge_for(names: list[str], models: list[dict], limits: list[tuple[float, fl
         least = h[np.arange(len(own)), best]
         some = letters > 0
         share = 1 / np.exp(-(h - least[:, None]) * np.minimum(sizes, 40)[:, None]).sum(axis=1)
-        mean, reach, short = np.array(limits).T
-        accepted = some & (least - mean[best] <= reach[best] + short[best] / np.sqrt(sizes))
+        mean, between, within, most = np.array(limits).T[:, best]
+        accepted = some & (excess(least, sizes, mean, between, within) <= most)
         lang = [names[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
         score, entropy = np.where(some, share, 0.0), np.where(some, least, np.nan)
         return lang, score, entropy, accepted
@@ -254,16 +257,23 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def limit(h: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
-    """(mean, reach, reach of short texts) from calibration documents' cross-entropies and sizes."""
+def excess(h: np.ndarray, n: np.ndarray, mean, between, within) -> np.ndarray:
+    """How far cross-entropies lie above the mean, in deviations that n characters let expect."""
+    return (h - mean) / np.sqrt(between**2 + within**2 / n)
+
+
+def limit(h: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]:
+    """(mean, deviation between documents, deviation of a character, largest excess accepted) from calibration documents' cross-entropies and sizes."""
     mean = float((h * n).sum() / n.sum())
-    excess = np.maximum(h - mean, 0)
-    reach, short = ((float(np.quantile(x, QUANTILE)) if len(x) else 0.0) for x in (excess[n >= LONG], (excess * np.sqrt(n))[n < LONG]))
-    return mean, SLACK * (reach or 0.1), SLACK * (short or 2.0)
+    off = np.square(h - mean)
+    between, within = (float(np.sqrt(np.median(x))) if len(x) else 0.0 for x in (off[n >= LONG], (off * n)[n < LONG]))
+    between, within = max(between, 0.01), within or 1.0
+    found = np.sort(excess(h, n, mean, between, within))
+    return mean, between, within, float(found[min(len(found), int(np.ceil((len(found) + 1) * (1 - FALSE_REJECTION)))) - 1])
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], list[dict], list[tuple[float, float, float]]]:
-    """Languages, their models and their (mean, reach, reach of short texts) for rejection, from labelled rows.
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], list[dict], list[tuple]]:
+    """Languages, their models and their limits for rejection, from labelled rows.
 
     About `sample` documents of each language are used, chosen by a seeded hash of key and text,
     which bounds what reaches the driver. Rows with a null text or language are left out.
@@ -302,14 +312,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     for x, model in zip(names, models, strict=True):
         own = excerpt[x] if len(excerpt[x][0]) >= CALIBRATED else pooled
         # too few even together: no text may cost more than its model's own characters in random order
-        limits.append(limit(*own) if len(own[0]) >= CALIBRATED else (-model["floor"], 0.0, 0.0))
+        limits.append(limit(*own) if len(own[0]) >= CALIBRATED else (-model["floor"], 1.0, 0.0, 0.0))
     return names, models, limits
 
 
 def identify(docs: DataFrame, fitted: tuple, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, cross_entropy, accepted) for every row, in one pass.
 
-    Null texts and texts without a letter give `und`, score 0 and accepted false. Where no language
+    `key` must be an integer. Null texts and texts without a letter give `und`, score 0 and accepted false. Where no language
     was learned every text gives `und` and score 0, and those with a letter are accepted. Repeated rows give a row each; other columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
