@@ -24,12 +24,12 @@ BATCH = 512
 
 
 #: Characters whose Unicode classes have not changed since both libraries' tables were made: on
-#: these alone the two split a text alike, and the faster one is used where it has the vocabulary.
+#: these alone the two split a text alike, and the faster one is used where it has the vocabulary; texts with an added token's string go to the first.
 SETTLED = r"[\x00-\u0377\u0384-\u038a\u0391-\u03a1\u03a3-\u0523\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]*"
 
 
 class Ids:
-    """ids of a text: by tokenizers, or by tiktoken with the same vocabulary as ranks, which gives the same ids."""
+    """ids of a text: by tokenizers, or by tiktoken with the same vocabulary as ranks where that gives the same ids."""
 
     def __init__(self, path: str) -> None:
         import base64
@@ -39,8 +39,10 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.settled, self.fast = re.compile(SETTLED).fullmatch, None
+        # strings that the vocabulary takes for single tokens wherever they stand
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)").search
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -51,7 +53,7 @@ class Ids:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast and self.settled(text):
+        if self.fast and self.settled(text) and not self.added(text):
             return self.fast(text)
         return self.whole.encode(text, add_special_tokens=False).ids
 
@@ -106,7 +108,7 @@ def cut_for(window: int):
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces (key, start, length, doc_tokens, sequence_id, offset, ids) of every row, in sequences of `window` tokens.
 
-    ids is binary, little-endian unsigned 32-bit. A null text is empty and gives the end token
+    `key` must be an integer. ids is binary, little-endian unsigned 32-bit. A null text is empty and gives the end token
     alone; a null or repeated key is kept as it is; an empty table gives no pieces. Only the last
     sequence is short. Other columns are ignored.
     """
