@@ -22,12 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a local one only where none is set and all run on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="wavequarry-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -61,6 +63,12 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has."""
+    tag = uuid.uuid4().hex
+    return [f"{n}_{tag}" for n in names]
+
+
 def let(value: Column, body) -> Column:
     """Bind an expression once and use it many times in `body`."""
     return F.transform(F.array(value), body)[0]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import fresh, materialize, read
 
 #: Base kinds as listed: name, pattern, group that holds the value, its least length.
 KINDS = [
@@ -106,11 +106,15 @@ def said(spans: Column) -> Column:
 
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "source", by: str = "[secret]", max_owners: int = 1, base_owners: int | None = None) -> DataFrame:
-    """docs with the characters of live spans replaced by `by`; examples that many owners share stay as they are."""
+    """docs with the characters of live spans replaced by `by`; examples that many owners share stay as they are.
+
+    Columns, their order and repeated rows stay; a null text stays null.
+    """
     found = scan(docs, key, text, repo, max_owners=max_owners, base_owners=base_owners)
+    row, spans = fresh("row", "spans")
     live = F.array_sort(F.filter(F.concat("base", "extra"), lambda x: x["live"]))
-    found = found.where(F.exists(F.concat("base", "extra"), lambda x: x["live"])).select("row_key", live.alias("live_spans")).dropDuplicates(["row_key"])
-    docs = docs.withColumn("mask_key", F.xxhash64(key, F.coalesce(F.col(text), F.lit("")))).join(found.withColumnRenamed("row_key", "mask_key"), "mask_key", "left")
+    found = found.where(F.exists(F.concat("base", "extra"), lambda x: x["live"])).select(F.col("row_key").alias(row), live.alias(spans)).dropDuplicates([row])
+    joined = docs.withColumn(row, F.xxhash64(key, F.coalesce(F.col(text), F.lit("")))).join(found, row, "left")
     body = F.col(text)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -120,8 +124,8 @@ def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "
             F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["stop"] > acc["at"], F.concat(acc["out"], gap, F.lit(by))).otherwise(acc["out"]).alias("out")
         )
 
-    cut = F.aggregate("live_spans", begin, step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body))))
-    return docs.withColumn(text, F.when(F.col("live_spans").isNotNull(), cut).otherwise(body)).drop("mask_key", "live_spans")
+    cut = F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], body.substr(acc["at"] + 1, F.length(body))))
+    return joined.withColumn(text, F.when(F.col(spans).isNotNull(), cut).otherwise(body)).select(*docs.columns)
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, read
+from .common import drop_table, fresh, materialize, read
 
 BITS, DISTANCE, WORDS, SEED = 64, 4, 4, 42
 #: Groups over this size are dealt out in blocks, each pair of blocks on its own.
@@ -179,11 +179,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", more=None
     A null key comes last: such a row stays only where its component has no other.
     """
     found = cluster(docs, key, text, more=more)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("kept_key"), F.col("text_hash").alias("kept_hash"))).alias("b"))
-    kept = materialize(best.select("b.kept_key", "b.kept_hash"), "simhash-kept")
-    rows = docs.withColumn("kept_text", F.xxhash64(text))
-    rows = rows.join(kept, (F.col("kept_text") == F.col("kept_hash")) & F.col(key).eqNullSafe(F.col("kept_key")), "left_semi")
-    return rows.dropDuplicates([key, "kept_text"]).select(*docs.columns)
+    least, digest, body = fresh("key", "hash", "text")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_hash").alias("hash"))).alias("b"))
+    kept = materialize(best.select(F.col("b.key").alias(least), F.col("b.hash").alias(digest)), "simhash-kept")
+    rows = docs.withColumn(body, F.xxhash64(text))
+    rows = rows.join(kept, (F.col(body) == F.col(digest)) & F.col(key).eqNullSafe(F.col(least)), "left_semi")
+    return rows.dropDuplicates([key, body]).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
