@@ -115,7 +115,7 @@ def mix(docs: DataFrame, members: Column, size: Column, key: list[str], seed: in
     columns that tell documents apart; rows that agree in them, in members and size share one
     decision. Returns docs with size, source_size and target (of its first source, in that order)
     and passes (0 to 3). Names that start with `mix_` are reserved. An empty table gives an empty
-    one. Only pattern totals reach the driver: as many rows as there are distinct patterns.
+    one. Documents of size 0 are taken as often as they fit, up to three times. Only pattern totals reach the driver: as many rows as there are distinct patterns.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("mix_size", size).withColumn("mix_of", F.sort_array(F.array_distinct(members), asc=True))
@@ -161,7 +161,8 @@ def mix(docs: DataFrame, members: Column, size: Column, key: list[str], seed: in
         same = same & F.col(c).eqNullSafe(F.col(f"mix_k_{c}"))
     all_ = all_.join(at, same, "left")
     extra = F.when(F.col("mix_bucket") < F.col("mix_cut"), 1).when(F.col("mix_bucket") == F.col("mix_cut"), F.coalesce("mix_take", F.lit(0))).otherwise(0)
-    passes = (F.col("mix_whole") + extra).cast("int").alias("passes")
+    # a document without tokens fits anywhere, also after the last pass
+    passes = F.least(F.col("mix_whole") + extra, F.lit(len(PASS_COSTS))).cast("int").alias("passes")
     return all_.select(*[c for c in docs.columns if not c.startswith("mix_")], F.col("mix_size").alias("size"), "source_size", "target", passes)
 
 
