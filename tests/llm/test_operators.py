@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavequarry.llm import anchors, entry, language_id, media, mixing, near_copies, packing, quality, repeats, rlz, secrets, simhash, suffix_dedup, url_filters
+from wavequarry.llm import anchors, entry, factors, language_id, media, mixing, near_copies, packing, quality, repeats, rlz, secrets, simhash, suffix_dedup, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, spans string, size int, tag long"
 
@@ -112,6 +112,64 @@ def test_a_rare_language_does_not_accept_an_unlearned_script(spark, common):
     assert [r.accepted for r in got] == [False] * 10 + [True] * 20
 
 
+def test_junk_is_rejected_and_clean_documents_stay(spark):
+    rng = np.random.default_rng(8)
+    words = {x: ["".join(rng.choice(list(a), int(rng.integers(2, 8)))) for _ in range(300)] for x, a in (("x", "abcdefghij"), ("y", "fghijklmno"))}
+    clean = lambda x, n: [" ".join(rng.choice(words[x], int(rng.integers(5, 200)))) for _ in range(n)]
+    docs = documents(spark, clean("x", 1500) + clean("y", 1500), langs=["x"] * 1500 + ["y"] * 1500)
+    fitted = language_id.fit(docs)
+    junk = ["".join(rng.choice(list("abcdefghijklmno"), 300)) for _ in range(20)] + ["zqzq xkcd " * 30] * 5 + [" ".join(w[::-1] + "q" for w in clean("x", 1)[0].split()) for _ in range(10)]
+    fresh = clean("x", 1000) + clean("y", 1000)
+    got = [r.accepted for r in language_id.identify(documents(spark, junk + fresh), fitted).orderBy("doc_id").collect()]
+    assert not any(got[:35])
+    # the stated rate, and three deviations for 2,000 documents
+    assert got[35:].count(False) <= 2000 * language_id.FALSE_REJECTION + 3 * (2000 * language_id.FALSE_REJECTION) ** 0.5
+
+
+class Dictionaries:
+    """Interpolated Kneser-Ney by its definition, on dictionaries of strings."""
+
+    def __init__(self, texts):
+        padded = ["   " + t + " " for t in texts]
+        self.counts = [Counter() for _ in range(4)]
+        self.counts[3].update(p[i : i + 4] for p in padded for i in range(len(p) - 3))
+        for n in (2, 1, 0):
+            self.counts[n].update(g[1:] for g in self.counts[n + 1])
+        self.letters = len(self.counts[0]) + 1
+        self.discounts = []
+        for c in self.counts:
+            once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+            self.discounts.append(min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5)))
+
+    def probability(self, gram):
+        if not gram:
+            return 1 / self.letters
+        n = len(gram) - 1
+        below = self.probability(gram[1:])
+        own = {g: v for g, v in self.counts[n].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return below
+        total, discount = sum(own.values()), self.discounts[n]
+        return max(own.get(gram, 0) - discount, 0) / total + discount * len(own) / total * below
+
+    def entropy(self, text):
+        padded = "   " + text + " "
+        return -sum(np.log(self.probability(padded[i : i + 4])) for i in range(len(padded) - 3)) / (len(padded) - 3)
+
+
+def test_entropies_equal_their_definition(spark):
+    """op2 against a version on dictionaries: the same cross-entropies and languages."""
+    langs = {"x": texts_in("abcde", 12, 1), "y": texts_in("cdefg", 12, 2)}
+    docs = documents(spark, langs["x"] + langs["y"], langs=["x"] * 12 + ["y"] * 12)
+    rows = docs.withColumn("held", language_id.F.pmod(language_id.F.xxhash64(language_id.F.lit(12), "doc_id", "text"), language_id.F.lit(10)) < language_id.CALIBRATION_TENTHS)
+    counted = {x: [r.text for r in rows.where(f"NOT held AND lang = '{x}'").collect()] for x in langs}
+    models = {x: Dictionaries(t) for x, t in counted.items()}
+    tests = ["abc dea", "defg cde", "abcde fgh", "q", "hello world"]
+    for r in language_id.identify(documents(spark, tests), language_id.fit(docs)).collect():
+        want = {x: m.entropy(tests[r.doc_id]) for x, m in models.items()}
+        assert r.cross_entropy == pytest.approx(min(want.values()), rel=1e-4) and want[r.lang_pred] == pytest.approx(min(want.values()), rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     grams = Counter()
     text = "   the theme of the thing "
@@ -159,6 +217,35 @@ def test_mix_comes_near_its_targets(spark):
         assert own[0].target <= 3 * own[0].source_size
 
 
+def test_choice_equals_a_plain_version(spark):
+    """op3 against a version in plain Python, for sources of one bucket each."""
+    rng = np.random.default_rng(4)
+    sources = [["b", "a", None, "c", "é"][int(k)] for k in rng.choice(5, 300, p=[0.6, 0.1, 0.1, 0.1, 0.1])]
+    texts = ["w " * int(n) for n in rng.integers(0, 60, 300)]
+    docs = documents(spark, texts, sources=sources)
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", mixing.F.xxhash64(mixing.F.lit(7), "doc_id").alias("h")).collect()}
+    got = {r.doc_id: r for r in mixing.mix(docs.drop("size"), mixing.F.array("source"), mixing.word_count(mixing.F.col("text")), ["doc_id"]).collect()}
+    size = [len(t.split()) for t in texts]
+    names = sorted(set(sources), key=lambda x: (x is None, x or ""))
+    total = {x: sum(n for n, y in zip(size, sources, strict=True) if y == x) for x in names}
+    goal = mixing.targets(total, {x: i % 3 + 1 for i, x in enumerate(names)}, float(sum(size)))
+    for x in names:
+        take = min(round(goal[x]), 3 * total[x])
+        whole, gap = divmod(take, total[x])
+        own = sorted((i for i, y in enumerate(sources) if y == x), key=lambda i: hashes[i])
+        more, left = set(), gap
+        for i in own:
+            if size[i] <= left:
+                more.add(i)
+                left -= size[i]
+        rest = [(size[i], n, i) for n, i in enumerate(own) if i not in more]
+        if rest and min(rest)[0] - left < left:
+            more.add(min(rest)[2])
+        for i in own:
+            assert (got[i]["size"], got[i].source_size) == (size[i], total[x]) and got[i].target == pytest.approx(goal[x])
+            assert got[i].passes == (whole + (i in more) if size[i] else got[i].passes) <= 3
+
+
 def test_reruns_agree(spark, sf_dir):
     a, b = (sorted(map(tuple, mixing.op3_mixing(spark, sf_dir).collect())) for _ in range(2))
     assert a == b
@@ -186,7 +273,6 @@ def test_pieces_cover_every_token_once(spark):
 
     texts = [*ODD, "word " * 5000, "<|endoftext|> is text", "語 中文 ᏻ"]
     whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    whole.encode_special_tokens = True
     rows = packing.pack(documents(spark, texts)).collect()
     for i, t in enumerate(texts):
         ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -214,6 +300,23 @@ def test_both_tokenizers_give_the_same_ids(text):
     assert ids(text) == ids.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_both_tokenizers_agree_on_the_whole_class():
+    """Every settled character, beside itself, a letter, a digit, a space, an apostrophe and a random other one."""
+    ids = packing.tokenizer(packing.VOCABULARY)
+    settled = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and ids.settled(c)]
+    assert len(settled) > 30_000 and max(settled) == "\uff5e"
+    rng = np.random.default_rng(9)
+    other = rng.integers(0, len(settled), len(settled))
+    for i in range(0, len(settled), 64):
+        text = "".join(f"{c}{c}a{c}1{c} {c}'{c}s{settled[o]}{c}\n{c}" for c, o in zip(settled[i : i + 64], other[i : i + 64].tolist(), strict=True))
+        assert ids.fast(text) == ids.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_single_ids():
+    ids = packing.tokenizer(packing.VOCABULARY)
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275] == ids.whole.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def test_tokenizers_agree_on_all_documents(spark, sf_dir):
     ids = packing.tokenizer(packing.VOCABULARY)
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect():
@@ -255,17 +358,55 @@ def test_binomial_bound(spark):
         assert r.p == pytest.approx(want, rel=1e-9)
 
 
+def spoiled(kind, i):
+    """A good document that just one rule would reject."""
+    words = [f"w{j}x{i}" for j in range(60)]
+    return {"symbols": " ".join(w + "###" for w in words), "lines": "\n".join(["same line"] * 20 + words), "repeats": " ".join(words + words[:9])}[kind]
+
+
 def test_a_cutoff_needs_enough_good_documents(spark):
-    good = ["clean text of many ordinary words number " + " ".join(f"w{j}x{i}" for j in range(30)) for i in range(1500)]
+    good = ["clean text of many ordinary words number " + " ".join(f"w{j}x{i}" for j in range(30)) for i in range(2500)]
     bad = ["#### ###! " + " ".join(f"w{j}" + "#" * 9 for j in range(30)) + str(i) for i in range(20)]
     docs = documents(spark, good + bad)
-    labels = spark.createDataFrame([(i, 1) for i in range(1500)], "doc_id long, quality int")
-    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
-    assert all(kept[i] for i in range(1500)) and not any(kept[i] for i in range(1500, 1520))
-    few = spark.createDataFrame([(i, 1) for i in range(50)] + [(3, None), (None, 1), (3, 0)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(i < 2500)) for i in range(2520)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert all(got[i] for i in range(2500)) and not any(got[2500 + i] for i in range(20))
+    few = spark.createDataFrame([(i, 1) for i in range(50)] + [(i, 0) for i in range(2500, 2520)] + [(3, None), (None, 1), (3, 0)], "doc_id long, quality int")
     assert all(r.kept for r in quality.judge(docs, few).collect() if not r.base_failed)
 
 
+def measured(spark, groups):
+    """Rows (key, stratum, measures) and labels; groups: (documents, good, hit rule or none, rows each)."""
+    rows, labels, key = [], [], 0
+    for n, good, rule, times in groups:
+        for _ in range(n):
+            rows += [(key, "en", *(0.9 if r == rule else 0.0 for r in quality.RULES))] * times
+            labels.append((key, good))
+            key += 1
+    return spark.createDataFrame(rows, "key long, stratum string, " + ", ".join(f"{r} double" for r in quality.RULES)), spark.createDataFrame(labels, "key long, good int")
+
+
+def test_the_risk_holds_for_all_rules_together(spark):
+    """Three disjoint groups of 0.6 % each: any one of the rules is safe, no two of them together are."""
+    rules = list(quality.RULES)
+    rows, labels = measured(spark, [(19640, 1, None, 1), *[(120, 1, r, 1) for r in rules], *[(100 + 10 * i, 0, r, 1) for i, r in enumerate(rules)]])
+    (cut,) = quality.certify(rows, labels).collect()
+    assert [cut[r] is not None for r in rules] == [False, False, True] and (cut.n, cut.k, cut.caught) == (20000, 120, 120)
+
+
+def test_repeated_rows_are_one_trial(spark):
+    rows, labels = measured(spark, [(40, 1, None, 60), (20, 0, "symbol_share", 1)])
+    assert quality.certify(rows, labels).count() == 0
+    rows, labels = measured(spark, [(4000, 1, None, 1), (20, 0, "symbol_share", 1)])
+    assert quality.certify(rows, labels).first().symbol_share == 0.9 or quality.certify(rows, labels).first().caught == 20
+
+
+def test_strata_of_null_and_empty_names_differ(spark):
+    rows, labels = measured(spark, [(4000, 1, None, 1), (20, 0, "symbol_share", 1)])
+    both = rows.withColumn("stratum", quality.F.expr("CASE WHEN key % 2 = 0 THEN '' END"))
+    assert sorted(r.stratum for r in quality.certify(both, labels).collect()) == ["-", "="]
+
+
 # op6 and op10
 
 
@@ -356,6 +497,40 @@ def test_second_names_differ_in_their_low_bits(monkeypatch, by_order, bits):
     assert repeats.DONE not in rows.column(1).to_pylist() and len(set(rows.column(1).to_pylist())) == 2
 
 
+def test_blocks_are_factored_by_the_longest_match():
+    """Lengths equal brute force over all other blocks of the group; the parse covers every repeated window and no other."""
+    rng = np.random.default_rng(3)
+    blocks, groups = [], np.sort(rng.integers(0, 6, 60))
+    for _ in groups:
+        left, right = rng.integers(1, 3, (2, 4))
+        some = int(rng.integers(5))
+        blocks.append(np.concatenate([left[:some], [50, 51, 52], right[: int(rng.integers(4 - some, 5))]]).astype(np.uint64))
+    starts = np.concatenate(([0], np.cumsum([len(b) for b in blocks])))
+    length, first = factors.longest_matches(np.concatenate(blocks), starts, groups, 7)
+    for i, b in enumerate(blocks):
+        others = [x.tolist() for j, x in enumerate(blocks) if j != i and groups[j] == groups[i]]
+        holds = lambda part: any(o[p : p + len(part)] == part for o in others for p in range(len(o) - len(part) + 1))
+        want = []
+        for at in range(len(b) - 6):
+            n = 7
+            while at + n <= len(b) and holds(b[at : at + n].tolist()):
+                n += 1
+            want.append(n - 1 if n > 7 else 0)
+        got = length[first[i] : first[i + 1]].tolist()
+        found = list(factors.parse(got, 7))
+        assert sorted(w for a, n in found for w in range(a, a + n)) == [w for w, n in enumerate(want) if n]
+        same = [x.tolist() for j, x in enumerate(blocks) if j != i and groups[j] == groups[i] and x.tolist() == b.tolist()]
+        assert same or got == want  # equal blocks meet at the same length
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_large_groups_of_blocks_go_by_windows(spark, monkeypatch, most):
+    monkeypatch.setattr(factors, "MOST", most)
+    texts = [f"x{i} " * (i % 5) + PASSAGE + f" y{i}" * (i % 7) for i in range(30)] + ["a " + " ".join(PASSAGE.split()[5:45]) + f" z{i}" for i in range(20)] + shuffled_passages(7)
+    got = sorted(tuple(r)[1:] for r in rlz.factor(documents(spark, texts).repartition(3)).drop("factors").collect())
+    assert got == sorted(brute_words(texts))
+
+
 def test_factors_are_the_removed_words(spark):
     r = {x.doc_id: x for x in rlz.factor(documents(spark, ["a b " + PASSAGE + " c", PASSAGE + " d"])).collect()}
     assert [(f.start, f.stop) for f in r[0].factors] == [(2, 62)] and [(f.start, f.stop) for f in r[1].factors] == [(0, 60)]
@@ -564,6 +739,58 @@ def test_any_bytes_can_be_sniffed(data, magic):
 
 # pipeline
 
+CLASHES = ["mask_key", "live_spans", "kept_text", "kept_hash", "kept_key", "source_size", "target", "passes", "pass", "row", "words", "text_hash", "mark", "component", "root", "hash", "accepted"]
+
+
+def odd_documents(spark, texts, **columns):
+    """documents() with a column for each name that an operator uses inside."""
+    docs = documents(spark, texts, **columns)
+    return docs.select("*", *[simhash.F.lit(f"own {c}").alias(c) for c in CLASHES])
+
+
+def own_columns_stay(docs):
+    return all(r[c] == f"own {c}" for r in docs.collect() for c in CLASHES)
+
+
+def test_clashing_names_stay(spark):
+    docs = odd_documents(spark, [*ODD, "password: hunter2hunter2"])
+    for out in (secrets.mask(docs), simhash.keep_one(docs), near_copies.keep_one(docs), language_id.keep_known(docs, language_id.fit(docs))):
+        assert out.columns == docs.columns and out.count() > 0 and own_columns_stay(out)
+
+
+def odd_table(spark):
+    """Nulls in every column, empty, long and repeated texts, repeated ids."""
+    prose = [" ".join(f"word{(7 * i + j) % 50}" for j in range(40)) for i in range(60)]
+    texts = [*ODD, *prose, prose[0], "password=" + "a1b2c3d4e5f6", "long " * 50_000, None]
+    ids = [*range(len(texts) - 3), 5, None, None]
+    return odd_documents(spark, texts, ids=ids, sources=[None if i % 4 == 0 else f"s{i % 3}" for i in range(len(texts))], langs=[None if i % 5 == 0 else "en" for i in range(len(texts))])
+
+
+@pytest.mark.parametrize("name", ["language_id", "simhash_near_dedup", "secret_scans", "mixing", "packing"])
+def test_each_stage_takes_odd_and_empty_tables(spark, sf_dir, name):
+    import corpus_pipeline
+
+    stage, docs = dict(corpus_pipeline.STAGES)[name], odd_table(spark)
+    for table in (docs, docs.where("false")):
+        out = corpus_pipeline.materialize(stage(spark, table, sf_dir), "test-odd")
+        before, after = table.count(), out.count()
+        if name == "packing":
+            assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in table.select("doc_id").collect()}
+            continue
+        assert out.columns == table.columns and own_columns_stay(out) and (after == 0) == (before == 0)
+        if name == "secret_scans":
+            assert after == before and out.where("text LIKE '%a1b2c3d4e5f6%'").count() == 0
+            assert all(r.n_chars == len(r.text or "") for r in out.collect())
+        if name == "mixing":
+            seen = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+            times = Counter((r.doc_id, r.text, r.source) for r in table.collect())
+            assert all(seen[x] <= 3 * times[x] for x in seen)
+        if name == "simhash_near_dedup" and before:
+            texts = [r.text for r in out.collect()]
+            assert texts.count(PASSAGE) == 1 and len([t for t in texts if t is None or not t.split()]) == 1
+        if name == "language_id" and before:
+            assert all(any(c.isalpha() for c in r.text or "") for r in out.collect())
+
 
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
