@@ -17,8 +17,8 @@ from .anchors import mix, prefix, substrings
 
 #: Blocks of one group that are indexed in memory; a larger group's blocks are told to go another way.
 MOST = 1 << 15
-#: Symbols of whole groups that are indexed together.
-SYMBOLS = 1 << 20
+#: Bytes of whole groups that are indexed together.
+HELD = 1 << 23
 
 
 def longest_matches(symbols: np.ndarray, starts: np.ndarray, groups: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,48 +76,50 @@ def parse(length: list[int], size: int) -> Iterator[tuple[int, int]]:
             i += 1
 
 
+def factored(rows: list[tuple], size: int) -> list[tuple]:
+    """(key, tag, part) of each factor; rows are (a, key, tag, symbols as bytes)."""
+    symbols = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
+    starts = np.concatenate(([0], np.cumsum([len(r[3]) // 8 for r in rows])))
+    _, groups = np.unique([r[0] for r in rows], return_inverse=True)
+    length, first = longest_matches(symbols, starts, groups, size)
+    length, first = length.tolist(), first.tolist()
+    return [(r[1], r[2], at << 8 | n) for i, r in enumerate(rows) for at, n in parse(length[first[i] : first[i + 1]], size)]
+
+
 class Blocks:
-    """Takes rows (a, key, tag, symbols) in the order of a, and gives (key, tag, part) for each factor; part -1: the block's group is too large."""
+    """Takes rows (a, key, tag, bytes) in the order of a, whole groups of them at a time to `settle`; part -1: the row's group is too large."""
 
-    def __init__(self, size: int, most: int) -> None:
-        self.size, self.most = size, most
+    def __init__(self, size: int, most: int, settle) -> None:
+        self.size, self.most, self.settle = size, most, settle
         self.rows: list[tuple] = []
-        self.symbols, self.last, self.group, self.too_large = 0, None, 0, None
+        self.held, self.last, self.group, self.too_large = 0, None, 0, None
 
     def push(self, rows) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for a, key, tag, symbols in rows:
+        for row in rows:
+            a, key, tag, block = row
             if a == self.too_large:
                 out.append((key, tag, -1))
                 continue
             if a != self.last:
-                if self.symbols >= SYMBOLS:
-                    yield self.made(self.factored())
+                if self.held >= HELD:
+                    yield from self.end()
                 self.last, self.group = a, len(self.rows)
-            self.rows.append((a, key, tag, symbols))
-            self.symbols += len(symbols) // 8
+            self.rows.append(row)
+            self.held += len(block)
             if len(self.rows) - self.group > self.most:
                 out += [(key, tag, -1) for _, key, tag, _ in self.rows[self.group :]]
-                self.symbols -= sum(len(r[3]) // 8 for r in self.rows[self.group :])
+                self.held -= sum(len(r[3]) for r in self.rows[self.group :])
                 del self.rows[self.group :]
                 self.too_large, self.last = a, None
         if out:
             yield self.made(out)
 
     def end(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            yield self.made(self.factored())
-
-    def factored(self) -> list[tuple]:
-        rows, self.rows, self.symbols = self.rows, [], 0
-        symbols = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
-        starts = np.concatenate(([0], np.cumsum([len(r[3]) // 8 for r in rows])))
-        _, groups = np.unique([r[0] for r in rows], return_inverse=True)
-        length, first = longest_matches(symbols, starts, groups, self.size)
-        length, first = length.tolist(), first.tolist()
-        return [(r[1], r[2], at << 8 | n) for i, r in enumerate(rows) for at, n in parse(length[first[i] : first[i + 1]], self.size)]
+        rows, self.rows, self.held = self.rows, [], 0
+        if rows and (out := self.settle(rows, self.size)):
+            yield self.made(out)
 
     @staticmethod
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        key, tag, part = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 3
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag), pa.array(part)], names=["key", "tag", "part"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "tag", "part"])

@@ -2,8 +2,8 @@
 
 Round one sorts every document's anchor runs by (anchor hash, context hash): anchors that occur
 once drop out, and runs whose whole context occurs more than once are settled together. Round two
-sorts the single windows of what is left, anchors that occur in different contexts, by the pair of
-hashes of their first and their last part. Rows are labelled in one streaming pass over sorted
+settles the single windows of what is left, anchors that occur in different contexts. Where they are
+sorted by Spark it is by the pair of hashes of their first and their last part. Rows are labelled in one streaming pass over sorted
 partitions that remembers one row, so a window in a third of all documents needs no more memory
 than a rare one.
 
@@ -12,9 +12,10 @@ among some hundred thousand rows of a task only one of a context is, the others'
 known. Anchors that are frequent in a sample of documents are dealt out by context, and all their
 contexts are expanded: the sample decides where rows go, never what becomes of them.
 
-With `factoring`, round two doesn't send single windows but whole contexts, as blocks that are
-factored against all other blocks of their anchor (factors.py). Windows remain the way for anchors
-too frequent for a block index in one task: those in the list, and any whose group turns out to be.
+Round two sends whole contexts, as blocks, and a task settles all blocks of an anchor together:
+words by factoring them against each other (factors.py), bytes by prefix doubling (ranks.py). The
+pairs of windows remain the way for anchors too frequent for one task: those in the list, and any
+whose group turns out to be.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from . import factors
+from . import factors, ranks
 from .anchors import SEGMENT, byte_symbols, document_runs, mix, prefix, substrings, word_symbols
 from .common import materialize
 
@@ -218,7 +219,11 @@ def label_for(by_order: bool):
     return label
 
 
-def settle_for(size: int, most: int):
+#: What becomes of the blocks of an anchor.
+SETTLE = {("words", False): factors.factored, ("bytes", True): ranks.later_windows}
+
+
+def settle_for(kind: str, size: int, by_order: bool, most: int):
     """(key, tag, part): WINDOW for each repeated window, and what factors.Blocks gives for each block (a row with symbols)."""
 
     def settled(found):
@@ -227,7 +232,7 @@ def settle_for(size: int, most: int):
             yield pa.RecordBatch.from_arrays([full.column(0), full.column(1), pa.array(np.full(len(full), WINDOW))], names=["key", "tag", "part"])
 
     def settle(batches):
-        labels, blocks = Labels(False), factors.Blocks(size, most)
+        labels, blocks = Labels(by_order), factors.Blocks(size, most, SETTLE[kind, by_order])
         for batch in batches:
             block = batch.column(4).is_valid()
             windows, own = batch.filter(pa.compute.invert(block)), batch.filter(block)
@@ -253,11 +258,11 @@ def lists(batch: pa.RecordBatch, i: int, column: int):
     return part.values.to_numpy(zero_copy_only=False), offsets
 
 
-def windows_for(kind: str, k: int, size: int, by_order: bool, factoring: bool = False):
-    """Single windows of the runs to be expanded: hashes of the first and the last `half` symbols.
+def windows_for(kind: str, k: int, size: int, by_order: bool):
+    """Rows of the runs to be expanded, whose numbers come doubled, and one more for windows.
 
-    With `factoring` a run's number comes doubled, and one more for windows; other runs give one row, a
-    block, with all their symbols.
+    Windows: hashes of the first and the last `half` symbols. Other runs give one row, a block: their
+    anchor, and their bytes or their words' hashes.
     """
     half = size * 2 // 3
 
@@ -266,14 +271,17 @@ def windows_for(kind: str, k: int, size: int, by_order: bool, factoring: bool =
         for d, (first, last, anchor, _) in enumerate(found):
             chosen = np.unique(values[offsets[d] : offsets[d + 1]])
             chosen = chosen[chosen & 1 == 0] >> 1
+            if not len(chosen):
+                continue
             tag = tags([data[d]], [len(chosen)], chosen).tolist()
             for n, t in zip(chosen.tolist(), tag, strict=True):
-                parts.append((int(anchor[n].view(np.int64)), 0, int(keys[d]), t, symbols[d][first[n] : last[n] + size].tobytes()))
+                block = data[d] if kind == "bytes" else symbols[d]
+                parts.append((int(anchor[n].view(np.int64)), 0, int(keys[d]), t, bytes(block[first[n] : last[n] + size])))
         columns = zip(*parts, strict=True) if parts else [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["a", "b", "key", "tag", "symbols"])
 
     def widened(batch):
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.binary())], names=["a", "b", "key", "tag", "symbols"]) if factoring else batch
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(len(batch), pa.binary())], names=["a", "b", "key", "tag", "symbols"])
 
     def expand(batches):
         sent, row = Sent(by_order, False), 0
@@ -285,12 +293,10 @@ def windows_for(kind: str, k: int, size: int, by_order: bool, factoring: bool =
                 values, offsets = lists(batch, i, 2)
                 parts, counts, numbers = [], [], []
                 found = list(document_runs(symbols, k, size))
-                if factoring:
-                    yield blocks_of(keys, data, found, values, offsets, symbols)
+                yield blocks_of(keys, data, found, values, offsets, symbols)
                 for d, (first, last, _, _) in enumerate(found):
                     chosen = np.unique(values[offsets[d] : offsets[d + 1]])
-                    if factoring:
-                        chosen = chosen[chosen & 1 == 1] >> 1
+                    chosen = chosen[chosen & 1 == 1] >> 1
                     n = last[chosen] - first[chosen] + 1
                     at = np.repeat(first[chosen] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                     pairs = []
@@ -367,15 +373,15 @@ def cover_for(kind: str, k: int, size: int, finish, kinds: list[pa.DataType]):
     return cover
 
 
-def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int, by_order: bool, finish, kinds: list[pa.DataType], factoring: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int, by_order: bool, finish, kinds: list[pa.DataType]) -> DataFrame:
     """Apply finish() to every row's text and the mask of its symbols that repeated windows of `size` symbols cover.
 
     by_order: a window counts where it starts in a document with a smaller key, else where it
     starts anywhere else. A null key is never smaller than another nor larger than a null one.
-    factoring: not with by_order; at most 255 windows may share an anchor.
+    At most 255 windows may share an anchor.
     """
-    if factoring and (by_order or size - k >= 255):
-        raise ValueError("blocks of this kind can't be factored")
+    if size - k >= 255:
+        raise ValueError("too many windows an anchor")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("sum", F.crc32(F.encode("text", "UTF-8")))
     number, is_ = F.col("tag").bitwiseAND(0xFFFFFFFF), lambda bit: F.col("kind").bitwiseAND(bit) > 0
@@ -394,24 +400,18 @@ def repeated(docs: DataFrame, key: str, text: str, kind: str, k: int, size: int,
     def second_round(want):
         want = want.groupBy("key", "sum").agg(F.collect_list("number").alias("numbers"))
         chosen = rows.select("key", "sum", "text").join(want, ["key", "sum"]).select("key", "text", "numbers")
-        make = windows_for(kind, k, size, by_order, factoring)
-        if not factoring:
-            return materialize(labelled(chosen.mapInArrow(make, ROWS), by_order).where(is_(FULL)), "repeats-windows")
-        found = chosen.mapInArrow(make, ROWS + ", symbols binary")
+        found = chosen.mapInArrow(windows_for(kind, k, size, by_order), ROWS + ", symbols binary")
         found = found.repartition(F.col("a")).sortWithinPartitions("a", "b", "key", "tag")
-        return materialize(found.mapInArrow(settle_for(size, factors.MOST), "key long, tag long, part long"), "repeats-factors")
+        return materialize(found.mapInArrow(settle_for(kind, size, by_order, factors.MOST), "key long, tag long, part long"), "repeats-windows")
 
     runs = first_round()
     marks = of(runs.where(is_(FULL)), number * 4)
-    if factoring:
-        rounds = [second_round(of(runs.where(is_(EXPAND)), number * 2 + is_(HOT).cast("long")))]
-        again = rounds[0].where("part = -1")
-        if not again.isEmpty():
-            rounds.append(second_round(of(again, number * 2 + 1)))
-        for found in rounds:
-            marks = marks.union(of(found.where("part <> -1"), F.when(F.col("part") == WINDOW, number * 4 + 1).otherwise((F.shiftleft(number, 16) + F.col("part")) * 4 + 2)))
-    else:
-        marks = marks.union(of(second_round(of(runs.where(is_(EXPAND)), number)), number * 4 + 1))
+    rounds = [second_round(of(runs.where(is_(EXPAND)), number * 2 + is_(HOT).cast("long")))]
+    again = rounds[0].where("part = -1")
+    if not again.isEmpty():
+        rounds.append(second_round(of(again, number * 2 + 1)))
+    for found in rounds:
+        marks = marks.union(of(found.where("part <> -1"), F.when(F.col("part") == WINDOW, number * 4 + 1).otherwise((F.shiftleft(number, 16) + F.col("part")) * 4 + 2)))
     marks = marks.groupBy("key", "sum").agg(F.collect_list("number").alias("numbers"))
     none = F.array().cast("array<bigint>")
     joined = rows.join(marks, ["key", "sum"], "left").select("id", "text", F.coalesce("numbers", none).alias("numbers"))

@@ -1,13 +1,15 @@
-"""Suffix-array dedup: distributed prefix doubling over a thinned set of positions.
-
-Ranking every byte position at offsets 1, 2, 4, ... would shuffle each position several times. The
-suffixes are thinned first to locally minimal positions: every window of 50 bytes holds exactly
-one anchor, at the same place wherever the window occurs, so nothing is missed. Spark sorts the
-anchors by the pair (rank of the first 20 bytes, rank of the bytes around them) and reranks;
-positions that are unique drop out, those equal past the threshold are done. The rest are ranked
-again, window by window, by the pair of names of bytes 0-32 and 17-49: the doubling step that
-reaches the threshold. Names are 64-bit hashes of the byte strings, order among them being of no
-use to the result. See repeats.py.
+"""Suffix-array dedup: prefix doubling over a thinned set of positions, distributed by anchors.
+
+Ranking every byte position at offsets 1, 2, 4, ... by Spark would shuffle each position several
+times. Positions are thinned first to locally minimal ones: every window of 50 bytes holds exactly
+one anchor, at the same place wherever the window occurs, so equal windows meet at equal anchors.
+Spark sorts the anchors by the pair (name of the first 20 bytes, name of the bytes around them):
+positions that are unique drop out, those equal past the threshold are settled. The bytes around the
+others are sent to their anchor's task, where the windows are ranked by pairs of ranks at growing
+offsets (8, 16, 32 and then 18 bytes on) until they are unique or reach 50 bytes. Ranks come from the
+bytes themselves; the names of anchors and of their surroundings are hashes of 64 and 62 bits, as are
+the names (64 and 63 bits) by which Spark sorts the windows of anchors too frequent for one task.
+See ranks.py and repeats.py.
 """
 
 from __future__ import annotations
