@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wavequarry.llm import anchors, entry, factors, language_id, media, mixing, near_copies, packing, quality, repeats, rlz, secrets, simhash, suffix_dedup, url_filters
+from wavequarry.llm import anchors, entry, factors, language_id, media, mixing, near_copies, packing, quality, ranks, repeats, rlz, secrets, simhash, suffix_dedup, url_filters
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, spans string, size int, tag long"
 
@@ -492,8 +492,8 @@ def test_second_names_differ_in_their_low_bits(monkeypatch, by_order, bits):
     monkeypatch.setattr(repeats, "substrings", lambda pre, start, stop: np.where(start > 0, names[int(pre[-1]) & 1], np.uint64(7)))
     monkeypatch.setattr(repeats, "prefix", lambda symbols: np.array([len(symbols) & 1], np.uint64))
     monkeypatch.setattr(repeats, "mix", lambda x: x)
-    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["x" * 50, "x" * 51]), pa.array([[0], [0]])], names=["key", "text", "numbers"])
-    rows = next(iter(repeats.windows_for("bytes", 20, 50, by_order)(iter([texts]))))
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["x" * 50, "x" * 51]), pa.array([[1], [1]])], names=["key", "text", "numbers"])
+    _, rows = repeats.windows_for("bytes", 20, 50, by_order)(iter([texts]))
     assert repeats.DONE not in rows.column(1).to_pylist() and len(set(rows.column(1).to_pylist())) == 2
 
 
@@ -525,10 +525,24 @@ def test_blocks_are_factored_by_the_longest_match():
 
 @pytest.mark.parametrize("most", [0, 3])
 def test_large_groups_of_blocks_go_by_windows(spark, monkeypatch, most):
+    """Groups that one task can't hold are settled by sorted windows, with the same results."""
     monkeypatch.setattr(factors, "MOST", most)
     texts = [f"x{i} " * (i % 5) + PASSAGE + f" y{i}" * (i % 7) for i in range(30)] + ["a " + " ".join(PASSAGE.split()[5:45]) + f" z{i}" for i in range(20)] + shuffled_passages(7)
-    got = sorted(tuple(r)[1:] for r in rlz.factor(documents(spark, texts).repartition(3)).drop("factors").collect())
-    assert got == sorted(brute_words(texts))
+    docs = documents(spark, texts).repartition(3)
+    assert sorted(tuple(r)[1:] for r in rlz.factor(docs).drop("factors").collect()) == sorted(brute_words(texts))
+    assert sorted(tuple(r) for r in suffix_dedup.dedup(docs).drop("spans").collect()) == sorted(brute_bytes(texts, range(len(texts))))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=20, max_size=40).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12), st.integers(3, 20))
+def test_doubled_ranks_are_those_of_the_strings(blocks, size):
+    data = b"".join(blocks)
+    at = np.arange(len(data) - size + 1)
+    strings = [data[p : p + size] for p in at.tolist()]
+    seen = Counter(strings)
+    left, names = ranks.ranked(ranks.units_of(data), at, size)
+    assert left.tolist() == [p for p in at.tolist() if seen[strings[p]] > 1]
+    assert len(set(zip(names.tolist(), [strings[p] for p in left.tolist()], strict=True))) == len(set(names.tolist())) == sum(v > 1 for v in seen.values())
 
 
 def test_factors_are_the_removed_words(spark):
