@@ -90,3 +90,24 @@ def test_events_are_capped_and_say_so(spark):
     rows = {r.rule_id: r for r in health.report(chunks(spark, [x]), cap=10).collect()}
     assert len(rows["0057B"].events) == 10 and rows["0057B"].events_truncated
     assert rows["0009F"].calculated is False and rows["0009F"].passed is None
+
+
+def test_only_stereo_pairs_are_compared(spark):
+    left, right, centre = music(1), music(2), -music(1)
+    assert "0012B" not in failed(spark, [left, right, centre])
+    five = [left, right, music(4), 0.1 * music(5), music(6), -music(6)]
+    rows = {r.rule_id: r for r in health.report(chunks(spark, five)).collect()}
+    assert [(e.channel, e.related) for e in rows["0012B"].events] == [(5, 6)]
+    assert health.stereo_pairs(8) == [(0, 1), (4, 5), (6, 7)] and health.stereo_pairs(1) == [] and health.stereo_pairs(3) == [(0, 1)]
+
+
+def test_cross_talk_needs_the_same_spectrum(spark):
+    assert health.spectral_match(tone(500)[None], tone(500, 0.01)[None], FS)[0] == pytest.approx(1)
+    assert health.spectral_match(tone(500)[None], tone(4000, 0.01)[None], FS)[0] == pytest.approx(0, abs=1e-6)
+
+
+def test_features_do_not_depend_on_chunks(spark):
+    x = [noise(0.008), tone(60) + noise(0.001, 4)]
+    options = health.Options(lfe_channels=(1,), lfe_ratio=0.0)
+    of = lambda step: sorted((r.rule_id, r.passed, *[(e.channel, round(e.start_seconds, 6), round(e.end_seconds, 6), round(e.measured, 5)) for e in r.events]) for r in health.report(chunks(spark, x, step), options).collect() if r.calculated)
+    assert of(N) == of(FS) and {r[0] for r in of(FS) if not r[1]} >= {"0086B", "0095B"}

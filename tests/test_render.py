@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wavequarry.functions import dims
-from wavequarry.operators import render
+from wavequarry.operators import compare, render
 from wavequarry.sources import containers, sinks, wave
 
 FS = 8000
@@ -49,6 +49,19 @@ def test_downmix_is_the_matrix_product(spark):
     assert np.allclose(got, want, atol=1e-6)
 
 
+def test_downmix_adds_all_channels(spark):
+    labels = spark.createDataFrame([("a", i, "X") for i in range(70)], "asset_id string, channel int, label string")
+    matrix = spark.createDataFrame([(0, "X", 1.0)], "out_channel int, in_label string, coef double")
+    assert samples(render.downmix(chunks(spark, [np.ones(8)] * 70), labels, matrix)).tolist() == [[70.0] * 8]
+
+
+def test_owners_of_deep_chains_and_cycles(spark):
+    edges = [(i, i - 1) for i in range(1, 60)] + [(100, 101), (101, 102), (102, 100), (103, 100), (200, None)]
+    got = {r.node: (r.depth, r.root, r.cyclic) for r in compare.owners(spark.createDataFrame(edges, "node long, parent long"), "node", "parent").collect()}
+    assert all(got[i] == (i, 0, False) for i in range(1, 60)) and all(got[i] == (None, None, True) for i in (100, 101, 102, 103)) and 200 not in got
+    assert compare.owners(spark.createDataFrame([], "node long, parent long"), "node", "parent").count() == 0
+
+
 def test_segment_envelope_ramps(spark):
     y = samples(render.segment_envelope(chunks(spark, [np.full(FS, 0.1)]), [(0, 0.5, -6.0), (0.5, 1.0, 0.0)]))[0]
     assert y[100] == pytest.approx(0.1 * 10 ** (-6 / 20), abs=1e-5) and y[-1] == pytest.approx(0.1, abs=1e-6)

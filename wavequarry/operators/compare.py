@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import drop_written, written
+
 
 def unique_or_fail(rows: DataFrame, key: str) -> DataFrame:
     """Rows with an error raised, when run, for a key that occurs twice."""
@@ -78,3 +80,26 @@ def evict(entries: DataFrame, size: str, order: list[str], budget: int, protect:
     rows = entries.where(~protect).join(before, F.col(order[0]) == F.col("_day")).crossJoin(F.broadcast(total))
     own = F.coalesce(F.sum(size).over(Window.partitionBy(order[0]).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_ahead", F.col("_before") + own).where(F.col("total") - F.col("_ahead") > budget).drop("_day", "_before", "_ahead", "total")
+
+
+def owners(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, depth, root, cyclic): the last owner above each node and the steps to it; null for nodes on or below a cycle.
+
+    By doubling: after k joins each node knows its ancestor 2**k steps up, so the number of joins is the
+    logarithm of the greatest depth. Each is written, or the plan would double as well. Of several
+    owners of a node the smallest counts.
+    """
+    state = edges.groupBy(F.col(child).alias("node")).agg(F.min(parent).alias("ancestor")).where("ancestor IS NOT NULL")
+    state = written(state.select("node", "ancestor", F.lit(1).cast("long").alias("depth")), "owners")
+    nodes, steps = state.count(), 1
+    while True:
+        up = state.select(F.col("node").alias("mid"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
+        joined = state.join(up, F.col("ancestor") == F.col("mid"), "left")
+        before, state = state, written(joined.select("node", F.coalesce("next", "ancestor").alias("ancestor"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("open")), "owners")
+        drop_written(before)
+        steps *= 2
+        # a chain without a cycle has no more steps than there are nodes: one join later only cycles still grow
+        if steps > 2 * nodes or state.where("open").isEmpty():
+            known = lambda c: F.when(~F.col("open"), F.col(c))
+            return state.select(F.col("node").alias(child), known("depth").alias("depth"), known("ancestor").alias("root"), F.col("open").alias("cyclic"))
+        state = state.drop("open")

@@ -9,26 +9,38 @@ from pyspark.sql.window import Window
 from ..functions.units import db_to_linear
 
 
-def evaluate(measured: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One row per asset, profile and rule that the profile has; a null bound is no rule.
-
-    `profiles` is the profile dimension (a score of rows): it is crossed with the assets on purpose.
-    """
-    basis = F.when(F.col("basis") == "dialogue", F.col("dialogue_lufs")).otherwise(F.col("integrated_lufs"))
+def rules_of(profiles: DataFrame) -> DataFrame:
+    """(profile, basis, metric, minimum, maximum, maximum_inclusive): a row for each bound that a profile has."""
     none = F.lit(None).cast("double")
-    plr = F.col("true_peak_dbtp") - F.col("integrated_lufs")
-    rule = lambda name, has, value, low, high, strict=False: F.when(has, F.struct(F.lit(name).alias("metric"), value.alias("measured"), low.alias("minimum"), high.alias("maximum"), F.lit(not strict).alias("maximum_inclusive")))
+    rule = lambda name, has, low, high, strict=False: F.when(F.col(has).isNotNull(), F.struct(F.lit(name).alias("metric"), low.alias("minimum"), high.alias("maximum"), F.lit(not strict).alias("maximum_inclusive")))
     rules = F.array_compact(
         F.array(
-            rule("integrated_lufs", F.col("target").isNotNull(), basis, F.col("target") - F.col("lower_tol"), F.col("target") + F.col("upper_tol")),
-            rule("max_loudness", F.col("max_loudness").isNotNull(), basis, none, F.col("max_loudness")),
-            rule("true_peak_dbtp", F.col("max_true_peak").isNotNull(), F.col("true_peak_dbtp"), none, F.col("max_true_peak")),
-            rule("max_short_term_lufs", F.col("max_short_term").isNotNull(), F.col("max_short_term_lufs"), none, F.col("max_short_term")),
-            rule("ldr", F.col("max_ldr").isNotNull(), F.col("integrated_lufs") - F.col("dialogue_lufs"), none, F.col("max_ldr")),
-            rule("plr", F.col("plr_below").isNotNull(), plr, none, F.col("plr_below"), True),
+            rule("integrated_lufs", "target", F.col("target") - F.col("lower_tol"), F.col("target") + F.col("upper_tol")),
+            rule("max_loudness", "max_loudness", none, F.col("max_loudness")),
+            rule("true_peak_dbtp", "max_true_peak", none, F.col("max_true_peak")),
+            rule("max_short_term_lufs", "max_short_term", none, F.col("max_short_term")),
+            rule("ldr", "max_ldr", none, F.col("max_ldr")),
+            rule("plr", "plr_below", none, F.col("plr_below"), True),
         )
     )
-    out = measured.crossJoin(F.broadcast(profiles)).select("asset", "profile", F.explode(rules).alias("r")).select("asset", "profile", "r.*")
+    return profiles.select("profile", "basis", F.explode(rules).alias("r")).select("profile", "basis", "r.*")
+
+
+def evaluate(measured: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row per asset, profile and rule that the profile has; a null bound is no rule.
+
+    `profiles` is the profile dimension (a score of rows, some forty rules): it is crossed with the
+    assets on purpose. The result has many times the input's rows, so a table of fewer partitions
+    than there are cores is dealt out first.
+    """
+    cores = measured.sparkSession.sparkContext.defaultParallelism
+    if measured.rdd.getNumPartitions() < cores:
+        measured = measured.repartition(cores)
+    loud, talk, peak = F.col("integrated_lufs"), F.col("dialogue_lufs"), F.col("true_peak_dbtp")
+    basis = F.when(F.col("basis") == "dialogue", talk).otherwise(loud)
+    metric = F.col("metric")
+    value = F.when(metric == "true_peak_dbtp", peak).when(metric == "max_short_term_lufs", F.col("max_short_term_lufs")).when(metric == "ldr", loud - talk).when(metric == "plr", peak - loud).otherwise(basis)
+    out = measured.crossJoin(F.broadcast(rules_of(profiles))).select("asset", "profile", "metric", value.alias("measured"), "minimum", "maximum", "maximum_inclusive")
     m = F.col("measured")
     upper = F.when(F.col("maximum_inclusive"), m <= F.col("maximum")).otherwise(m < F.col("maximum"))
     ok = F.coalesce((F.col("minimum").isNull() | (m >= F.col("minimum"))) & (F.col("maximum").isNull() | upper), F.lit(False))

@@ -3,7 +3,7 @@
 The samples are shuffled once, all channels of a chunk together, and reduced to three small
 tables: sample-level segments, per-window features and per-chunk sums. Everything after that is
 relational: segments that touch across chunks are merged, windows become runs, sums become
-programme figures. A threshold can be changed without reading the samples again as long as the
+programme figures. Results don't depend on the length of chunks. A threshold can be changed without reading the samples again as long as the
 segment predicates stay the same. Chunks must begin at whole seconds.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.dims import LAYOUTS
+from ..functions.shared import written
 from . import sequence
 
 
@@ -60,11 +62,33 @@ class Options:
     stuck_seconds: float = 0.05
     jump: float = 0.75
     lfe_channels: tuple = field(default=())
+    #: Pairs of channels for phase, panning and delay; None: those of the usual layout with so many channels.
+    stereo_pairs: tuple | None = None
 
 
 FEATURES = "asset_id string, sample_rate int, kind string, channel int, related int, at long, stop long, a double, b double, c double, d double"
 
 
+#: Bands (Hz) of the spectral part of cross-talk.
+TALK_BANDS = (250.0, 375.0, 500.0, 750.0, 1000.0, 2000.0, 4000.0, 8000.0)
+#: Seconds before a chunk that its filters are run over first: their memory of anything older is below 1e-8.
+WARM_UP = 0.05
+
+
+def stereo_pairs(channels: int) -> list[tuple[int, int]]:
+    """The first two channels, and channels that mirror each other, of the usual layout of so many channels."""
+    layout = next((x for x in LAYOUTS.values() if len(x) == channels), [])
+    found = [(i, j) for i, a in enumerate(layout) for j, b in enumerate(layout) if i < j and a[1] == b[1] and a[2] == -b[2] != 0 and a[3] == b[3]]
+    return found or [(0, 1)][: channels // 2]
+
+
+def spectral_match(a: np.ndarray, b: np.ndarray, fs: float) -> np.ndarray:
+    """Cosine of the amplitudes of each row's bands."""
+    bands = [hz for hz in TALK_BANDS if hz < 0.49 * fs]
+    x, y = (np.stack([goertzel(s, hz, fs) for hz in bands], axis=-1) if bands else np.zeros((len(s), 1)) for s in (a, b))
+    return np.clip(cosine(x, y), 0, 1)
+
+
 def runs_of(mask: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))).reshape(-1, 2)
 
@@ -110,12 +134,19 @@ def reduce_for(o: Options):
 
     def reduce(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("channel")
+        before = {r.channel: np.asarray(r.samples, np.float64) for r in rows[rows["tail"]].itertuples(index=False)}
+        rows = rows[~rows["tail"]]
+        if rows.empty:
+            return pd.DataFrame([], columns=names)
         asset, fs, base = rows["asset_id"].iloc[0], int(rows["sample_rate"].iloc[0]), int(rows["frame_start"].iloc[0])
         channels, x = rows["channel"].tolist(), np.stack([np.asarray(s, np.float32) for s in rows["samples"]])
         y, out = x.astype(np.float64), []
         add = lambda kind, ch, rel, at, stop, a=None, b=None, c=None, d=None: out.append((asset, fs, kind, ch, rel, at, stop, a, b, c, d))
+        chosen = set(stereo_pairs(len(channels)) if o.stereo_pairs is None else o.stereo_pairs)
         for i, ch in enumerate(channels):
             s = y[i]
+            lead = before.get(ch, s[:0])
+            band_of = lambda low, high, s=s, lead=lead: one_pole_band(np.concatenate([lead, s]), fs, low, high)[len(lead) :]
             for kind, mask in (("silence", np.abs(x[i]) <= amp(o.silence)), ("clip", (x[i] >= 1 - o.half_lsb) | (x[i] <= -1)), ("drop", np.abs(x[i]) <= amp(o.dropout))):
                 for p, q in runs_of(mask):
                     add(kind, ch, None, base + p, base + q, float(np.square(s[p:q]).sum()))
@@ -131,7 +162,7 @@ def reduce_for(o: Options):
                 add("jump", ch, None, base + p, base + p + 1, float(s[p] - s[p - 1]))
             pad = lambda v: [*v.tolist(), *[None] * (2 - len(v))]
             add("edge", ch, None, base, base + len(s), *pad(s[:2]), *pad(s[-2:]))
-            high = s - one_pole_band(s, fs, 1e-6, o.lfe_hz) if ch in o.lfe_channels else s[:0]
+            high = s - band_of(1e-6, o.lfe_hz) if ch in o.lfe_channels else s[:0]
             add("sum", ch, None, base, base + len(s), float(np.square(s).sum()), float(s.sum()), float(np.square(high).sum()))
             w = windows(s, max(fs // 10, 32))
             energy = np.square(w).mean(axis=1)
@@ -146,7 +177,7 @@ def reduce_for(o: Options):
                 add("hum", ch, None, base // fs + k, None, 50.0 if best[0, k] >= best[1, k] else 60.0)
             quarter = windows(s, max(fs // 4, 1))
             flat = 1 - np.abs(cosine(quarter[:, :-1], quarter[:, 1:]))
-            band = level(np.square(windows(one_pole_band(s, fs, 200, 15000), max(fs // 4, 1))).mean(axis=1))
+            band = level(np.square(windows(band_of(200, 15000), max(fs // 4, 1))).mean(axis=1))
             whole = level(np.square(quarter).mean(axis=1))
             for k in np.flatnonzero((whole <= o.noise_programme) & (band >= o.noise_band) & (flat >= o.noise_flatness)):
                 add("noise", ch, None, base // quarter.shape[1] + k, None, float(band[k]))
@@ -154,22 +185,23 @@ def reduce_for(o: Options):
             for j in range(i + 1, len(channels)):
                 if ch in o.lfe_channels or channels[j] in o.lfe_channels:
                     continue
+                stereo = (i, j) in chosen
                 half = windows(y[[i, j]], max(fs // 2, 1))
                 cos, loud = cosine(half[0], half[1]), np.sqrt(np.square(half).mean(axis=2)).max(axis=0)
-                for k in np.flatnonzero((loud >= amp(o.silence)) & (cos <= o.phase)):
+                for k in np.flatnonzero((loud >= amp(o.silence)) & (cos <= o.phase) & stereo):
                     add("phase", ch, channels[j], base // half.shape[2] + k, None, float(cos[k]))
                 q = windows(y[[i, j]], max(fs // 4, 1))
                 db = level(np.square(q).mean(axis=2))
-                coherence, delta = np.abs(cosine(q[0], q[1])), np.abs(db[0] - db[1])
+                coherence, delta = np.abs(cosine(q[0], q[1])) * spectral_match(q[0], q[1], fs), np.abs(db[0] - db[1])
                 for k in range(q.shape[1]):
                     top, low = (ch, channels[j]) if db[0, k] >= db[1, k] else (channels[j], ch)
                     if db[:, k].max() >= o.talk_loud and db[:, k].min() >= o.talk_quiet and delta[k] >= o.talk_delta and coherence[k] >= o.talk_coherence:
                         add("talk", low, top, base // q.shape[2] + k, None, float(coherence[k]))
-                    if db[:, k].max() >= o.pan_loud and delta[k] >= o.pan_imbalance:
+                    if stereo and db[:, k].max() >= o.pan_loud and delta[k] >= o.pan_imbalance:
                         add("pan", top, low, base // q.shape[2] + k, None, float(delta[k]))
                 add("pair", ch, channels[j], base, base + x.shape[1], float(np.abs(y[i] - y[j]).max(initial=0.0)))
                 reach = min(o.delay_samples + 8, 64)
-                for p in range(0, x.shape[1] - 2048 - 2 * reach + 1, fs):
+                for p in range(0, x.shape[1] - 2048 - 2 * reach + 1 if stereo else 0, fs):
                     a = y[i, p + reach : p + reach + 2048]
                     cos = np.array([abs(float(cosine(a, y[j, p + reach + t : p + reach + t + 2048]))) for t in range(-reach, reach + 1)])
                     best = len(cos) - 1 - int(cos[::-1].argmax())
@@ -181,7 +213,12 @@ def reduce_for(o: Options):
 
 
 def features(chunks: DataFrame, options: Options) -> DataFrame:
-    return chunks.groupBy("asset_id", "chunk_no").applyInPandas(reduce_for(options), FEATURES)
+    """FEATURES of each chunk. The last WARM_UP of a chunk travels to the next one as well, whose filters start with it."""
+    own = chunks.select("asset_id", "sample_rate", "channel", "chunk_no", "frame_start", "samples", F.lit(False).alias("tail"))
+    short = F.greatest(F.lit(1), F.ceil(F.col("sample_rate") * WARM_UP)).cast("int")
+    last = F.when(F.size("samples") > short, F.slice("samples", F.size("samples") - short + 1, short)).otherwise(F.col("samples"))
+    ends = own.withColumns({"chunk_no": F.col("chunk_no") + 1, "samples": last, "tail": F.lit(True)})
+    return own.unionByName(ends).groupBy("asset_id", "chunk_no").applyInPandas(reduce_for(options), FEATURES)
 
 
 def findings(found: DataFrame, o: Options) -> DataFrame:
@@ -266,7 +303,7 @@ def report(chunks: DataFrame, options: Options = Options(), measured: DataFrame
     measured: asset_id, integrated_lufs, true_peak_dbtp for the two rules that only inform.
     """
     spark = chunks.sparkSession
-    found = features(chunks, options).persist()  # small; every rule reads it
+    found = written(features(chunks, options), "health-features")  # small; every rule reads it
     events = findings(found, options)
     size = found.where("kind = 'sum'").groupBy("asset_id").agg((F.max("stop") / F.first("sample_rate")).alias("seconds"), F.count_distinct("channel").alias("channels"))
     extra = []

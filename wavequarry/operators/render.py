@@ -27,10 +27,9 @@ def downmix(chunks: DataFrame, labels: DataFrame, matrix: DataFrame) -> DataFram
     """
     routed = chunks.join(labels, ["asset_id", "channel"]).join(F.broadcast(matrix), F.col("label") == F.col("in_label"))
     scaled = routed.withColumn("part", F.transform("samples", lambda x: x * F.col("coef")))
-    # at most as many arrays as the asset has channels meet in a group
-    summed = F.aggregate(
-        F.slice(F.collect_list("part"), 2, 64), F.element_at(F.collect_list("part"), 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    )
+    # as many arrays as the asset has channels meet in a group, and are added in the order of channels
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("channel", "part"))), lambda p: p["part"])
+    summed = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.element_at(parts, 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     out = scaled.groupBy("asset_id", "sample_rate", F.col("out_channel").alias("channel"), "chunk_no", "frame_start").agg(summed.alias("samples"))
     return out.withColumn("samples", F.transform("samples", lambda x: x.cast("float")))
 

@@ -90,11 +90,11 @@ def segment_boundary_gains(spark, sf_dir):
     return compliance.boundary_gains(s, "asset", ["seg", "l_partkey", "l_suppkey", "d", "safe"], "d", "safe").select("asset", "seg", rounded(F.col("boundary_gain")).alias("boundary_gain"))
 
 
-@query(f"WITH {MEASURE_SQL}, pr({', '.join(dims.PROFILE_COLUMNS)}) AS {dims.values(dims.PROFILES)}, t AS (SELECT asset, min(target) AS target, min(max_true_peak) AS ceiling, count(*) AS profiles FROM m, pr WHERE asset % 19 < 7 AND (length(profile) + asset) % 3 = 0 AND target IS NOT NULL GROUP BY asset) SELECT asset, profiles, target, ceiling, round(least(target - integrated_lufs, ceiling - true_peak_dbtp), 6) AS gain_db FROM t JOIN m USING (asset)")
+@query(f"WITH {MEASURE_SQL}, pr({', '.join(dims.PROFILE_COLUMNS)}) AS {dims.values(dims.PROFILES)}, t AS (SELECT asset, min(target) AS target, min(max_true_peak) AS ceiling, count(*) AS profiles FROM m, pr WHERE (length(profile) + asset) % 3 = 0 AND target IS NOT NULL GROUP BY asset) SELECT asset, profiles, target, ceiling, round(least(target - integrated_lufs, ceiling - true_peak_dbtp), 6) AS gain_db FROM t JOIN m USING (asset)")
 def multi_delivery_targets(spark, sf_dir):
     """One render for several profiles: lowest target, lowest ceiling."""
     m = measurements(spark, sf_dir)
-    chosen = m.where("asset % 19 < 7").crossJoin(F.broadcast(dims.profiles(spark).where("target IS NOT NULL"))).where((F.length("profile") + F.col("asset")) % 3 == 0)
+    chosen = m.crossJoin(F.broadcast(dims.profiles(spark).where("target IS NOT NULL"))).where((F.length("profile") + F.col("asset")) % 3 == 0)
     t = chosen.groupBy("asset", "integrated_lufs", "true_peak_dbtp").agg(F.min("target").alias("target"), F.min("max_true_peak").alias("ceiling"), F.count("*").alias("profiles"))
     return t.select("asset", "profiles", "target", "ceiling", rounded(F.least(F.col("target") - F.col("integrated_lufs"), F.col("ceiling") - F.col("true_peak_dbtp"))).alias("gain_db"))
 
@@ -287,7 +287,7 @@ def merged_ranges(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber) AS x FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber) AS y FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1)
+    """WITH a AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey) AS x FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey) AS y FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1)
 SELECT a.k AS l_orderkey, len(list_filter(x, lambda v: list_contains(y, v))) AS common, list_filter(x, lambda v: list_contains(y, v)) = list_filter(y, lambda v: list_contains(x, v)) AS same_order FROM a JOIN b ON a.k = b.k"""
 )
 def ordered_intersection(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dims
 from ..functions.units import rounded
+from ..operators import compare
 from .loudness import LAYOUT_SQL, MULTI_SQL, multichannel
 from .mappings import VECTOR_SQL, read, vectors
 from .registry import query
@@ -66,16 +67,27 @@ def owning_node_hops(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS child, o_custkey // 3 AS parent FROM orders WHERE o_custkey > 0), g AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT g.node, e.parent, g.depth + 1 FROM g JOIN e ON g.ancestor = e.child WHERE g.depth < 16)
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS child, o_custkey // 3 AS parent FROM orders WHERE o_custkey > 0), g AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT g.node, e.parent, g.depth + 1 FROM g JOIN e ON g.ancestor = e.child)
 SELECT node, max(depth) AS depth, arg_max(ancestor, depth) AS root FROM g GROUP BY node"""
 )
 def ownership_roots(spark, sf_dir):
-    """Owner of owners, by doubling: after k joins each node knows its ancestor 2**k steps up."""
-    edges = read(spark, sf_dir, "orders").where("o_custkey > 0").select(F.col("o_custkey").alias("node")).distinct().select("node", F.floor(F.col("node") / 3).alias("ancestor"), F.lit(1).alias("depth"))
-    for _ in range(4):  # depth 16
-        up = edges.select(F.col("node").alias("mid"), F.col("ancestor").alias("next"), F.col("depth").alias("more"))
-        edges = edges.join(up, F.col("ancestor") == F.col("mid"), "left").select("node", F.coalesce("next", "ancestor").alias("ancestor"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    return edges.select("node", "depth", F.col("ancestor").alias("root"))
+    """Owner of owners, however deep."""
+    edges = read(spark, sf_dir, "orders").where("o_custkey > 0").select(F.col("o_custkey").alias("node"), F.floor(F.col("o_custkey") / 3).alias("parent"))
+    return compare.owners(edges, "node", "parent").select("node", "depth", "root")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS child, CASE WHEN o_custkey % 40 = 0 THEN o_custkey + 39 ELSE o_custkey - 1 END AS parent FROM orders),
+g AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT g.node, e.parent, g.depth + 1 FROM g JOIN e ON g.ancestor = e.child WHERE g.depth < 100),
+r AS (SELECT node, max(depth) AS depth, arg_max(ancestor, depth) AS root FROM g GROUP BY node)
+SELECT node, CASE WHEN depth < 100 THEN depth ELSE 0 END AS depth, CASE WHEN depth < 100 THEN root ELSE node END AS root, depth = 100 AS cyclic FROM r"""
+)
+def ownership_chains(spark, sf_dir):
+    """Chains of up to 39 steps, some of which close into cycles of 40; a node on a cycle counts as its own root."""
+    key = F.col("o_custkey")
+    edges = read(spark, sf_dir, "orders").select(key.alias("node"), F.when(key % 40 == 0, key + 39).otherwise(key - 1).alias("parent"))
+    found = compare.owners(edges, "node", "parent")
+    return found.select("node", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("root", "node").alias("root"), "cyclic")
 
 
 LAGS = (2, 3, 5, 8)

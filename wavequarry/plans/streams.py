@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir as folder
 from ..functions.units import rounded
 from ..sources import rtp
 from ..streaming import live, watch
@@ -14,11 +13,6 @@ from .mappings import packets, read
 from .registry import query
 
 
-def folder(spark) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wavequarry-")).rstrip("/")
-
-
 @query(f"WITH {WINDOWED_SQL} SELECT asset, count(*) AS frames, round(max(abs(sample)), 6) AS sample_peak, {lufs_sql('max(m)')} AS max_momentary, {lufs_sql('max(st)')} AS max_short_term FROM w GROUP BY asset")
 def stream_meter_equals_batch(spark, sf_dir):
     """The live meter's last report of each asset, which equals the batch query's."""
@@ -45,7 +39,16 @@ def watch_stability(spark, sf_dir):
     return changes.where("status = 'completed'").select("path", "size_bytes", "first_seen_ms", "observed_ms")
 
 
-@query()
+@query(
+    """WITH RECURSIVE k AS (SELECT user_id AS ssrc, event_id AS capture_no, event_id % 65536 AS seq, event_id * 48 AS rtp_ts, epoch_us(ts) / 1e6 - CASE WHEN event_id % 50 = 3 THEN 7200.0 ELSE 0.0 END AS arrival FROM events WHERE event_id % 7 <> 0),
+u AS (SELECT *, row_number() OVER (PARTITION BY ssrc ORDER BY arrival, capture_no) AS n FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY ssrc, seq, rtp_ts ORDER BY arrival, capture_no) = 1)),
+t AS (SELECT ssrc, n, seq AS last, rtp_ts AS last_ts, 0 AS gaps, 0 AS lost, 0 AS reordered, 0 AS wrong FROM u WHERE n = 1
+UNION ALL SELECT ssrc, n, CASE WHEN d < 32768 THEN seq ELSE last END, CASE WHEN d < 32768 THEN rtp_ts ELSE last_ts END, gaps + CASE WHEN d > 1 AND d < 32768 THEN 1 ELSE 0 END, lost + CASE WHEN d > 1 AND d < 32768 THEN d - 1 ELSE 0 END,
+  reordered + CASE WHEN d >= 32768 THEN 1 ELSE 0 END, wrong + CASE WHEN d = 1 AND (rtp_ts - last_ts + 4294967296) % 4294967296 <> 48 THEN 1 ELSE 0 END
+  FROM (SELECT u.*, t.last, t.last_ts, t.gaps, t.lost, t.reordered, t.wrong, CASE WHEN u.seq = t.last THEN 65536 ELSE (u.seq - t.last + 65536) % 65536 END AS d FROM t JOIN u ON u.ssrc = t.ssrc AND u.n = t.n + 1))
+SELECT ssrc, CAST(c.packets AS BIGINT) AS packets, CAST(gaps AS BIGINT) AS gaps, CAST(lost AS BIGINT) AS lost, CAST(reordered AS BIGINT) AS reordered, CAST(c.packets - n AS BIGINT) AS duplicates, CAST(wrong AS BIGINT) AS timestamp_errors
+FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY ssrc ORDER BY n DESC) = 1) JOIN (SELECT ssrc, count(*) AS packets FROM k GROUP BY ssrc) c USING (ssrc)"""
+)
 def rtp_continuity(spark, sf_dir):
     """W13 exactly, with its state machine: gaps, losses, reorders, duplicates, timestamp errors."""
     k = packets(spark, sf_dir).where("event_id % 7 <> 0").withColumn("arrival", F.col("arrival") - F.when(F.col("event_id") % 50 == 3, 7200.0).otherwise(0.0))
