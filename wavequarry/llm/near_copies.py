@@ -103,10 +103,8 @@ def link(batches):
 
 
 def verified(groups: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
-    """Edges (a, b) between the marks of similar members of groups (key, part, id, mark); texts is (id, text), with repeats."""
-    wanted = groups.select("id").distinct()
-    found = materialize(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), f"{tag}-texts")
-    rows = groups.join(found, "id").select("key", "part", "mark", "text").repartition("key", "part").sortWithinPartitions("key", "part")
+    """Edges (a, b) between the marks of similar members of groups (key, part, id, mark); texts is (id, text)."""
+    rows = groups.join(texts, "id").select("key", "part", "mark", "text").repartition("key", "part").sortWithinPartitions("key", "part")
     return materialize(rows.mapInArrow(link, "a long, b long").where("a <> b").distinct(), f"{tag}-edges")
 
 
@@ -116,29 +114,31 @@ def join_copies(docs: DataFrame, text: str, rows: DataFrame, roots: DataFrame) -
     sketches = texts.mapInArrow(sketch, "id long, keys array<long>").groupBy("id").agg(F.first("keys").alias("keys"))
     sketches = materialize(sketches.join(rows.select(F.col("text_hash").alias("id"), "mark").distinct(), "id"), "near-sketches")
 
-    def members(roots: DataFrame) -> DataFrame:
-        """(key, id, mark, root) of each band."""
-        named = sketches.join(roots, F.col("mark") == F.col("node"), "left")
-        return named.select("id", "mark", F.coalesce("root", "mark").alias("root"), F.explode("keys").alias("key"))
+    def rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+        return df.join(roots, F.col("mark") == F.col("node"), "left").withColumn("root", F.coalesce("root", "mark")).drop("node")
 
     def unsettled(found: DataFrame) -> DataFrame:
-        """(key, first): groups that lie in several components, and their member with the smallest id."""
-        first = F.min(F.struct("id", "mark", "root")).alias("first")
-        return found.groupBy("key").agg(first, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "first")
+        """Keys of groups that lie in several components."""
+        return found.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
 
     def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
         return simhash.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges), "near-roots")
 
-    found = members(roots)
-    firsts = materialize(unsettled(found), "near-firsts")
+    # all that follows is about the members of these groups; their texts are fetched once
+    found = rooted(sketches, roots).select("id", "mark", "root", F.explode("keys").alias("key"))
+    found = materialize(found.join(unsettled(found), "key", "left_semi"), "near-members")
+    # a task hashes its share of the ids, 8 bytes each, and texts need no sorting
+    own = texts.join(found.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    texts = materialize(own.groupBy("id").agg(F.first("text").alias("text")), "near-texts")
+    firsts = found.groupBy("key").agg(F.min(F.struct("id", "mark", "root")).alias("first"))
     pairs = found.join(firsts, "key").where("root <> first.root").select("id", "mark", F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark")).distinct()
     ends = F.array(F.struct("id", "mark"), F.struct(F.col("first_id").alias("id"), F.col("first_mark").alias("mark")))
     groups = pairs.select(F.xxhash64("id", "first_id").alias("key"), F.lit(0).cast("long").alias("part"), F.explode(ends).alias("x")).select("key", "part", "x.id", "x.mark")
     roots = extended(roots, verified(materialize(groups, "near-pairs"), texts, "near-first"))
 
     # the first of a group has been compared with all others
-    rest = members(roots).join(firsts, "key").where("id <> first.id").drop("first")
-    rest = rest.join(unsettled(rest).select("key"), "key", "left_semi").select("key", "id", "mark")
+    rest = rooted(found.drop("root"), roots).join(firsts, "key").where("id <> first.id").drop("first")
+    rest = rest.join(unsettled(rest), "key", "left_semi").select("key", "id", "mark")
     groups = materialize(simhash.dealt(materialize(rest, "near-rest"), "id"), "near-groups")
     return extended(roots, verified(groups, texts, "near-rest"))
 
