@@ -179,12 +179,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", more=None
     A null key comes last: such a row stays only where its component has no other.
     """
     found = cluster(docs, key, text, more=more)
-    least, digest, body = fresh("key", "hash", "text")
-    best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_hash").alias("hash"))).alias("b"))
-    kept = materialize(best.select(F.col("b.key").alias(least), F.col("b.hash").alias(digest)), "simhash-kept")
-    rows = docs.withColumn(body, F.xxhash64(text))
-    rows = rows.join(kept, (F.col(body) == F.col(digest)) & F.col(key).eqNullSafe(F.col(least)), "left_semi")
-    return rows.dropDuplicates([key, body]).select(*docs.columns)
+    none, least, digest = on = fresh("none", "key", "hash")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias(none), F.coalesce(key, F.lit(0)).alias(least), F.col("text_hash").alias(digest))).alias("b"))
+    kept = materialize(best.select("b.*"), "simhash-kept")
+    rows = docs.withColumns({none: F.col(key).isNull(), least: F.coalesce(F.col(key).cast("long"), F.lit(0)), digest: F.xxhash64(text)})
+    # repeated rows meet where the join has sent them: docs are shuffled once
+    return rows.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
