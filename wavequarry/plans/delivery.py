@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import dims
 from ..functions.units import expand_template, iso_duration_seconds, redact_uri, rounded, wrap16
 from ..operators import compare, compliance, sequence
+from ..sources import playlist_tags
 from .mappings import MEASURE_SQL, PACKET_SQL, measurements, packets, read
 from .registry import query
 
@@ -90,12 +91,11 @@ def segment_boundary_gains(spark, sf_dir):
     return compliance.boundary_gains(s, "asset", ["seg", "l_partkey", "l_suppkey", "d", "safe"], "d", "safe").select("asset", "seg", rounded(F.col("boundary_gain")).alias("boundary_gain"))
 
 
-@query(f"WITH {MEASURE_SQL}, pr({', '.join(dims.PROFILE_COLUMNS)}) AS {dims.values(dims.PROFILES)}, t AS (SELECT asset, min(target) AS target, min(max_true_peak) AS ceiling, count(*) AS profiles FROM m, pr WHERE (length(profile) + asset) % 3 = 0 AND target IS NOT NULL GROUP BY asset) SELECT asset, profiles, target, ceiling, round(least(target - integrated_lufs, ceiling - true_peak_dbtp), 6) AS gain_db FROM t JOIN m USING (asset)")
+@query(f"WITH {MEASURE_SQL}, pr({', '.join(dims.PROFILE_COLUMNS)}) AS {dims.values(dims.PROFILES)}, t AS (SELECT asset, min(target) AS target, min(max_true_peak) AS ceiling, count(*) AS profiles FROM m, pr WHERE target IS NOT NULL GROUP BY asset) SELECT asset, profiles, target, ceiling, round(least(target - integrated_lufs, ceiling - true_peak_dbtp), 6) AS gain_db FROM t JOIN m USING (asset)")
 def multi_delivery_targets(spark, sf_dir):
-    """One render for several profiles: lowest target, lowest ceiling."""
-    m = measurements(spark, sf_dir)
-    chosen = m.crossJoin(F.broadcast(dims.profiles(spark).where("target IS NOT NULL"))).where((F.length("profile") + F.col("asset")) % 3 == 0)
-    t = chosen.groupBy("asset", "integrated_lufs", "true_peak_dbtp").agg(F.min("target").alias("target"), F.min("max_true_peak").alias("ceiling"), F.count("*").alias("profiles"))
+    """One render for all profiles that have a target: lowest target, lowest ceiling."""
+    wanted = dims.profiles(spark).where("target IS NOT NULL").agg(F.min("target").alias("target"), F.min("max_true_peak").alias("ceiling"), F.count("*").alias("profiles"))
+    t = measurements(spark, sf_dir).crossJoin(F.broadcast(wanted))  # a single row
     return t.select("asset", "profiles", "target", "ceiling", rounded(F.least(F.col("target") - F.col("integrated_lufs"), F.col("ceiling") - F.col("true_peak_dbtp"))).alias("gain_db"))
 
 
@@ -400,6 +400,26 @@ def playlist_target_duration(spark, sf_dir):
     return s.select("playlist", "segments", "longest", (F.col("longest") <= 7).alias("target_ok"))
 
 
+@query(
+    """WITH l AS (SELECT l_orderkey AS playlist, CAST(l_quantity AS INTEGER) AS q, l_returnflag = 'R' AS independent, l_linenumber % 3 = 0 AS ends, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) AS n FROM lineitem),
+s AS (SELECT *, sum(ends::INT) OVER (PARTITION BY playlist ORDER BY n) - ends::INT AS seg, sum(ends::INT) OVER (PARTITION BY playlist) AS segs FROM l), f AS (SELECT *, lead(seg) OVER (PARTITION BY playlist ORDER BY n) AS following FROM s),
+p AS (SELECT playlist, ends, q, q <= 45 AND (q >= 38.25 OR independent OR (seg < segs AND (following IS NULL OR following <> seg))) AS good FROM f)
+SELECT playlist, 'AQ-HLS-PART-DURATION' AS rule_id, count(*) AS checks, count(*) FILTER (NOT good) AS failed FROM p GROUP BY 1
+UNION ALL SELECT playlist, 'AQ-HLS-SEGMENTS', 1, CASE WHEN bool_or(ends) THEN 0 ELSE 1 END FROM p GROUP BY 1
+UNION ALL SELECT playlist, 'AQ-HLS-TARGET-DURATION', 1, CASE WHEN coalesce(max(q) FILTER (ends), 0) <= 45 THEN 0 ELSE 1 END FROM p GROUP BY 1"""
+)
+def playlist_part_rules(spark, sf_dir):
+    """2.11: an order as a low-latency playlist, a part a line; rules on parts and segments from its text."""
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    part = F.concat(F.lit("#EXT-X-PART:DURATION="), quantity, F.lit(',URI="p.m4s"'), F.when(F.col("l_returnflag") == "R", ",INDEPENDENT=YES").otherwise(""))
+    rows = F.concat(part, F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("\n#EXTINF:"), quantity, F.lit(",\ns.m4s"))).otherwise(""))
+    parts = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag", rows.alias("rows"))))
+    head = '#EXTM3U\n#EXT-X-VERSION:9\n#EXT-X-TARGETDURATION:45\n#EXT-X-PART-INF:PART-TARGET=45\n#EXT-X-MAP:URI="i.mp4"\n'
+    text = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.concat(F.lit(head), F.array_join(F.transform(parts, lambda p: p["rows"]), "\n")).alias("text"))
+    found = playlist_tags.findings(playlist_tags.lines_of(text)).where(F.col("rule_id").isin("AQ-HLS-PART-DURATION", "AQ-HLS-SEGMENTS", "AQ-HLS-TARGET-DURATION"))
+    return found.groupBy(F.col("path").alias("playlist"), "rule_id").agg(F.count("*").alias("checks"), F.count_if(~F.col("passed")).alias("failed"))
+
+
 @query(
     """SELECT a.l_orderkey AS track, a.l_linenumber AS first_event, b.l_linenumber AS second_event, CAST(least(epoch(a.l_shipdate) + a.l_quantity * 86400, epoch(b.l_shipdate) + b.l_quantity * 86400) - greatest(epoch(a.l_shipdate), epoch(b.l_shipdate)) AS BIGINT) AS overlap
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND epoch(a.l_shipdate) < epoch(b.l_shipdate) + b.l_quantity * 86400 AND epoch(b.l_shipdate) < epoch(a.l_shipdate) + a.l_quantity * 86400"""
