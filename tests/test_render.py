@@ -120,6 +120,10 @@ def box(name, body=b""):
     return struct.pack(">I", 8 + len(body)) + name + body
 
 
+def moof(number):
+    return box(b"moof", box(b"mfhd", struct.pack(">II", 0, number)) + box(b"traf", box(b"tfhd", struct.pack(">II", 0, 1))))
+
+
 def ts(pid, count):
     return bytes([0x47, pid >> 8, pid & 255, 0x10 | count]) + bytes(184)
 
@@ -129,7 +133,7 @@ GOOD = {
     "au": b".snd" + struct.pack(">IIIII", 24, 8, 3, 8000, 1) + bytes(8),
     "flac": b"fLaC\x80" + (34).to_bytes(3, "big") + struct.pack(">HH", 4096, 4096) + bytes(6) + ((44100 << 44) | 1).to_bytes(8, "big") + bytes(16) + b"\xff\xf8" + bytes(8),
     "ogg": ogg_page(0, 0, b"a", 2) + ogg_page(1, 10, b"b"),
-    "isobmff": box(b"ftyp", b"isom") + box(b"moov", box(b"mvhd") + box(b"trak")) + box(b"moof", box(b"mfhd", struct.pack(">II", 0, 1))) + box(b"moof", box(b"mfhd", struct.pack(">II", 0, 2))),
+    "isobmff": moof(1) + moof(2),
     "mpegts": ts(0, 0) + ts(0, 1),
     "matroska": b"\x1aE\xdf\xa3\x80" + b"\x18S\x80g\x81\x00",
     "mp3": (b"\xff\xfb\x90\x00" + bytes(413)) * 3,
@@ -139,7 +143,7 @@ GOOD = {
 BAD = {
     "ogg": (ogg_page(0, 0, b"a", 2) + ogg_page(2, 10, b"b"), {"AQ-OGG-PAGE-SEQUENCE"}),
     "mpegts": (ts(0, 0) + ts(0, 5), {"AQ-MPEGTS-CONTINUITY"}),
-    "isobmff": (box(b"ftyp") + box(b"moov", box(b"trak")), {"AQ-ISOBMFF-MOVIE-HEADER"}),
+    "isobmff": (moof(1) + moof(3), {"AQ-ISOBMFF-FRAGMENT-SEQUENCE"}),
     "mp3": ((b"\xff\xfb\x90\x00" + bytes(413)) * 2 + b"junkjunk", {"AQ-MP3-CONTIGUOUS"}),
     "au": (b".snd" + struct.pack(">IIIII", 24, 80, 3, 8000, 1), {"AQ-AU-SIZE"}),
 }

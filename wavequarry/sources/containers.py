@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from . import wave
+from . import isobmff, wave
 
 CHECKS = "path string, format string, layer string, rule_id string, passed boolean, message string"
 Check = tuple[str, str, bool, str]
@@ -227,34 +227,6 @@ def ogg(data: bytes) -> Iterator[Check]:
     yield "wrapper", "BEGIN-OF-STREAM", begins == len(last), "a first page for each stream"
 
 
-def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    while at + 8 <= end:
-        size, name, head = u(data, at, 4), data[at + 4 : at + 8], 8
-        if size == 1:
-            size, head = u(data, at + 8, 8), 16
-        size = end - at if size == 0 else size
-        if size < head:
-            yield b"????", at, end
-            return
-        yield name, at + head, at + size
-        at += size
-
-
-def isobmff(data: bytes) -> Iterator[Check]:
-    top = list(boxes(data, 0, len(data)))
-    names = [n for n, _, _ in top]
-    yield "wrapper", "FTYP-FIRST", names[:1] in ([b"ftyp"], [b"styp"]), "file type first"
-    yield "wrapper", "BOX-BOUNDS", all(e <= len(data) for _, _, e in top) and b"????" not in names, "boxes inside the file"
-    yield "wrapper", "MOVIE", b"moov" in names or b"moof" in names, "a movie or a fragment"
-    numbers = [u(data, a + 4, 4) for n, s, e in top if n == b"moof" for m, a, _ in boxes(data, s, e) if m == b"mfhd"]
-    yield "wrapper", "FRAGMENT-SEQUENCE", all(b == a + 1 for a, b in zip(numbers, numbers[1:], strict=False)), f"{len(numbers)} fragments"
-    for n, s, e in top:
-        if n == b"moov":
-            inner = [m for m, _, _ in boxes(data, s, min(e, len(data)))]
-            yield "wrapper", "MOVIE-HEADER", inner.count(b"mvhd") == 1, "one movie header"
-            yield "wrapper", "TRACKS", b"trak" in inner, f"{inner.count(b'trak')} tracks"
-
-
 def transport(data: bytes) -> Iterator[Check]:
     packets = [data[i : i + 188] for i in range(0, len(data) - 187, 188)]
     yield "wrapper", "SYNC", bool(packets) and all(p[0] == 0x47 for p in packets) and len(data) % 188 == 0, f"{len(packets)} packets"
@@ -305,7 +277,7 @@ def signed_pcm(data: bytes) -> Iterator[Check]:
 #: Magic bytes at an offset, format name and audit. Fixed values of the public formats.
 FORMATS = [
     (0, b"RIFF", "wave", riff), (0, b"RF64", "wave", riff), (0, b"BW64", "wave", riff), (0, b"FORM", "aiff", aiff), (0, b"caff", "caf", caf), (0, b".snd", "au", au), (0, b"fLaC", "flac", flac),
-    (0, b"OggS", "ogg", ogg), (0, b"ID3", "mp3", mp3), (4, b"ftyp", "isobmff", isobmff), (4, b"styp", "isobmff", isobmff), (4, b"moof", "isobmff", isobmff), (0, b"\x1aE\xdf\xa3", "matroska", matroska),
+    (0, b"OggS", "ogg", ogg), (0, b"ID3", "mp3", mp3), (4, b"ftyp", "isobmff", isobmff.audit), (4, b"styp", "isobmff", isobmff.audit), (4, b"moof", "isobmff", isobmff.audit), (0, b"\x1aE\xdf\xa3", "matroska", matroska),
     (0, b"DSD ", "dsf", signed_pcm), (0, b"\x0b\x77", "ac3", ac3), (0, b"\x47", "mpegts", transport),
 ]
 
