@@ -32,10 +32,27 @@ def metric_drift(base: DataFrame, cand: DataFrame, key: str, tolerances: dict[st
     return both.where(gone | drift).select(key, "metric", "base", "cand", F.when(gone, "AQ-EVIDENCE-MISSING").otherwise("AQ-METRIC-DRIFT").alias("rule_id"))
 
 
-def verdict_diff(base: DataFrame, cand: DataFrame, keys: list[str]) -> DataFrame:
-    """Rules that pass in the base and fail or lack in the candidate; a null verdict in the base is none."""
+def field_changes(base: DataFrame, cand: DataFrame, key: str, exact: list[str], passes: list[str]) -> DataFrame:
+    """Format fields that changed, verdicts that fail now and did not before, and either kind lost.
+
+    exact are fields that must be equal, passes boolean ones. A field that the base lacks is no change;
+    a verdict that the base lacks and the candidate fails is a new failure. Both sides are joined once, as wide rows.
+    """
+    fields = [*exact, *passes]
+    both = base.select(key, F.struct(*fields).alias("b")).join(cand.select(key, F.struct(*fields).alias("c")), key)
+    found = []
+    for name in fields:
+        b, c = F.col("b")[name], F.col("c")[name]
+        new = F.when(b != c, "AQ-FORMAT-CHANGED") if name in exact else F.when(~c & F.coalesce(b, F.lit(True)), "AQ-NEW-FAILURE")
+        rule = F.when(b.isNotNull() & c.isNull(), "AQ-EVIDENCE-MISSING").otherwise(new)
+        found.append(F.when(rule.isNotNull(), F.struct(F.lit(name).alias("metric"), b.cast("string").alias("base"), c.cast("string").alias("cand"), rule.alias("rule_id"))))
+    return both.select(key, F.explode(F.array_compact(F.array(*found))).alias("x")).select(key, "x.*")
+
+
+def verdict_diff(base: DataFrame, cand: DataFrame, keys: list[str], kind: str = "QC") -> DataFrame:
+    """Rules that pass in the base and fail or lack in the candidate; a null verdict in the base is none. kind is QC or CONTAINER-QC."""
     joined = base.where("passed").join(cand.withColumnRenamed("passed", "cand_passed").withColumn("there", F.lit(True)), keys, "left").where("there IS NULL OR NOT coalesce(cand_passed, false)")
-    return joined.select(*keys, F.when(F.col("there").isNull(), "AQ-QC-EVIDENCE-MISSING").otherwise("AQ-NEW-QC-FAILURE").alias("rule_id"))
+    return joined.select(*keys, F.when(F.col("there").isNull(), f"AQ-{kind}-EVIDENCE-MISSING").otherwise(f"AQ-NEW-{kind}-FAILURE").alias("rule_id"))
 
 
 def missing_references(child: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:

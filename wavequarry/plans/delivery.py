@@ -155,6 +155,22 @@ def rule_verdict_diff(spark, sf_dir):
     return compare.verdict_diff(vb, vc, ["path", "rule"])
 
 
+@query(
+    f"""WITH {MANIFEST_SQL}, x AS (SELECT path, status, CASE WHEN path % 5 <> 0 THEN path % 3 <> 0 END AS passed FROM b),
+y AS (SELECT path, CASE WHEN path % 31 = 0 THEN NULL WHEN path % 19 = 0 THEN 'X' ELSE status END AS status, CASE WHEN path % 7 <> 0 THEN path % 2 = 0 END AS passed FROM c),
+j AS (SELECT x.path, x.status AS s1, y.status AS s2, x.passed AS p1, y.passed AS p2 FROM x JOIN y ON x.path = y.path)
+SELECT path, 'status' AS metric, s1 AS base, s2 AS cand, CASE WHEN s2 IS NULL THEN 'AQ-EVIDENCE-MISSING' ELSE 'AQ-FORMAT-CHANGED' END AS rule_id FROM j WHERE s1 IS NOT NULL AND s1 IS DISTINCT FROM s2
+UNION ALL SELECT path, 'passed', p1::VARCHAR, p2::VARCHAR, CASE WHEN p2 IS NULL THEN 'AQ-EVIDENCE-MISSING' ELSE 'AQ-NEW-FAILURE' END FROM j WHERE (p1 IS NOT NULL AND p2 IS NULL) OR (NOT p2 AND coalesce(p1, true))"""
+)
+def manifest_field_changes(spark, sf_dir):
+    """Changed format fields, new failures and lost evidence."""
+    b, c = manifests(spark, sf_dir)
+    x = b.select("path", "status", F.when(F.col("path") % 5 != 0, F.col("path") % 3 != 0).alias("passed"))
+    status = F.when(F.col("path") % 31 != 0, F.when(F.col("path") % 19 == 0, "X").otherwise(F.col("status")))
+    y = c.select("path", status.alias("status"), F.when(F.col("path") % 7 != 0, F.col("path") % 2 == 0).alias("passed"))
+    return compare.field_changes(x, y, "path", ["status"], ["passed"])
+
+
 @query(
     f"""WITH {MEASURE_SQL} SELECT album, count(*) AS assets, count(*) FILTER (coalesce(CASE WHEN dialogue_lufs IS NULL THEN NULL ELSE dialogue_lufs > -25 END, true) AND true_peak_dbtp <= 0.5) AS passing,
 count(*) FILTER (NOT (coalesce(CASE WHEN dialogue_lufs IS NULL THEN NULL ELSE dialogue_lufs > -25 END, true) AND true_peak_dbtp <= 0.5)) AS failing FROM m GROUP BY album"""
