@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from wavequarry.functions import dims
+from wavequarry.functions import dims, kernels
 from wavequarry.operators import compare, render
 from wavequarry.sources import containers, sinks, wave
 
@@ -76,8 +77,41 @@ def test_comparison_finds_lag_swap_and_level(spark):
     moved = np.concatenate([np.zeros((2, 17)), a[::-1, :-17]], axis=1) * 0.5
     rows = render.compare_audio(chunks(spark, a), chunks(spark, moved), 50)
     assert all(r.lag == 17 and r.channel != r.matched and r.correlation > 0.999 and r.gain_db == pytest.approx(-6.02, abs=0.1) for r in rows.collect())
-    failed = {r.rule_id for r in render.comparison_gates(rows).where("NOT passed").collect()}
-    assert failed == {"AQ-AUDIO-LAG", "AQ-AUDIO-CHANNEL-ORDER", "AQ-AUDIO-NULL-DEPTH", "AQ-AUDIO-LEVEL"}
+    assert failing(rows) == {"OFFSET", "CHANNEL-PERMUTATION", "NULL-DEPTH", "RESIDUAL-PEAK", "SPECTRAL-ERROR"}
+
+
+def failing(rows, **limits):
+    return {r.rule_id.removeprefix("AQ-AUDIO-COMPARE-") for r in render.comparison_gates(rows, **limits).where("NOT passed").collect()}
+
+
+def test_comparison_gates_each_fire(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(2, FS)) * 0.1
+    against = lambda b, reach=20: render.compare_audio(chunks(spark, a), chunks(spark, b), reach)
+    assert failing(against(a)) == set()
+    assert {r.rule_id.rpartition("COMPARE-")[2] for r in render.comparison_gates(against(a)).collect()} == {
+        "NON-FINITE", "SAMPLE-RATE", "CHANNEL-COUNT", "OFFSET", "DURATION", "ALIGNMENT-CONFIDENCE", "OVERLAP", "CHANNEL-PERMUTATION", "NULL-DEPTH", "RESIDUAL-PEAK", "POLARITY", "CORRELATION", "SPECTRAL-ERROR"
+    }
+    turned = a * np.array([[-1], [1]])
+    assert failing(against(turned)) == {"POLARITY", "NULL-DEPTH", "RESIDUAL-PEAK"} and {r.signed_correlation < 0 for r in against(turned).collect()} == {True, False}
+    notes = render.comparison_gates(against(turned), allow_inversion=True).where("NOT passed").collect()
+    assert {(r.rule_id, r.level, r.channel) for r in notes} == {("AQ-AUDIO-COMPARE-POLARITY", "note", 0)}
+    assert failing(against(a[::-1])) == {"CHANNEL-PERMUTATION"} and failing(against(a[:, : FS - 7])) == {"DURATION"}
+    assert failing(against(a[:1])) == {"CHANNEL-COUNT"}
+    assert failing(against(np.where(np.arange(FS) == 5, np.nan, a))) == {"NON-FINITE"}
+    assert failing(render.compare_audio(chunks(spark, a), chunks(spark, a).withColumn("sample_rate", F.lit(2 * FS)))) == {"SAMPLE-RATE"}
+    assert {"ALIGNMENT-CONFIDENCE", "CORRELATION"} <= failing(against(rng.normal(size=(2, FS)) * 0.1))
+    assert failing(render.compare_audio(chunks(spark, a * 0), chunks(spark, a * 0), 20)) == set()
+
+
+def test_band_amplitudes_equal_direct_sums():
+    x = np.random.default_rng(3).normal(size=500)
+    w = np.hanning(500)
+    for f, got in zip((31.5, 1000.0), kernels.band_amplitudes(x, 8000, np.array([31.5, 1000.0])), strict=True):
+        t = 2 * math.pi * f / 8000 * np.arange(500)
+        assert got == pytest.approx(math.hypot((x * w * np.cos(t)).sum(), (x * w * np.sin(t)).sum()) / w.sum())
+    long = np.tile(x, 100)
+    assert kernels.spectral_error(long, long / 2, 8000) == pytest.approx(20 * math.log10(2)) and kernels.spectral_error(long, long, 8000) == 0 == kernels.spectral_error(long * 0, long * 0, 8000)
 
 
 def test_dialogue_is_found_where_it_is(spark):

@@ -162,6 +162,31 @@ def resample(x: np.ndarray, source: int, target: int, half: int = 32) -> np.ndar
     return out
 
 
+def band_amplitudes(x: np.ndarray, fs: int, bands: np.ndarray) -> np.ndarray:
+    """amplitude over the window's sum at each frequency, under a Hann window."""
+    n = np.arange(len(x))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / max(1, len(x) - 1))
+    return np.abs(np.exp(-2j * np.pi * np.outer(bands / fs, n)) @ (x * window)) / max(float(window.sum()), 1e-30)
+
+
+def spectral_error(reference: np.ndarray, candidate: np.ndarray, fs: int, windows: int = 8, length: int = 4096) -> float:
+    """Root mean square of level differences in dB, over third octaves from 31.5 Hz in evenly spread windows; bands that are silent in both don't count."""
+    n = min(len(reference), len(candidate))
+    if n < 32:
+        return 0.0
+    length = min(length, n)
+    count = min(windows, -(-n // length))
+    bands = 31.5 * 2.0 ** (np.arange(64) / 3)
+    bands = bands[bands < 0.49 * fs]
+    starts = [(n - length) * k // (count - 1) for k in range(count)] if count > 1 else [(n - length) // 2]
+    a, b = (np.concatenate([band_amplitudes(x[s : s + length], fs, bands) for s in starts]) for x in (reference, candidate))
+    heard = np.maximum(a, b) >= 1e-8
+    if not heard.any():
+        return 0.0
+    difference = 20 * np.log10(np.maximum(b[heard], 1e-15)) - 20 * np.log10(np.maximum(a[heard], 1e-15))
+    return min(300.0, math.sqrt(float(np.square(difference).mean())))
+
+
 def assign_channels(weight: np.ndarray) -> list[int]:
     """Hungarian assignment of largest total weight; column of each row."""
     n = len(weight)

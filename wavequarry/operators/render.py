@@ -85,59 +85,116 @@ def segment_envelope(chunks: DataFrame, segments: list[tuple[float, float, float
     return chunks.mapInPandas(apply, chunks.schema)
 
 
-COMPARE = "asset_id string, lag long, lag_cosine double, channel int, matched int, correlation double, residual_db double, null_depth_db double, exact_ratio double, gain_db double"
+COMPARE = (
+    "asset_id string, reference_rate int, candidate_rate int, reference_channels int, candidate_channels int, reference_non_finite long, candidate_non_finite long, duration_delta long, "
+    "lag long, lag_cosine double, overlap long, channel int, matched int, correlation double, signed_correlation double, reference_energy double, residual_energy double, corrected_energy double, "
+    "residual_peak double, corrected_peak double, spectral_error_db double, residual_db double, null_depth_db double, exact_ratio double, gain_db double"
+)
+#: Seconds from which the lag is estimated.
+PROBE_SECONDS = 10
 
 
-def compare_signals(reference: np.ndarray, candidate: np.ndarray, reach: int) -> list[tuple]:
-    """Best lag (smallest of equal ones), channel assignment by correlation, residual of each matched pair."""
-    a, b = reference.mean(axis=0), candidate.mean(axis=0)
-    size = 1 << int(len(a) + len(b)).bit_length()
-    cross = np.fft.irfft(np.fft.rfft(b, size) * np.conj(np.fft.rfft(a, size)), size)
+def correlated(x: np.ndarray, y: np.ndarray) -> float:
+    """Pearson's correlation; of constant signals 1 if they are equal, else 0."""
+    x, y = x - x.mean(), y - y.mean()
+    d = math.sqrt(float((x * x).sum()) * float((y * y).sum()))
+    return float((x * y).sum()) / d if d > 0 else float(np.array_equal(x, y))
+
+
+def best_lag(reference: np.ndarray, candidate: np.ndarray, reach: int) -> int:
+    """The lag of the largest absolute normalised correlation of any two channels, the smallest of equal ones.
+
+    Neither the order of channels nor their polarity matters.
+    """
+    size = 1 << int(reference.shape[1] + candidate.shape[1]).bit_length()
     lags = np.array(sorted(range(-reach, reach + 1), key=lambda t: (abs(t), t)))
-    lag = int(lags[np.argmax(np.abs(cross[lags]).round(9))])
+    ours, theirs = np.conj(np.fft.rfft(reference, size)), np.fft.rfft(candidate, size)
+    most = np.zeros(len(lags))
+    for i, x in enumerate(ours):
+        for j, y in enumerate(theirs):
+            norm = math.sqrt(float(np.square(reference[i]).sum()) * float(np.square(candidate[j]).sum()))
+            if norm > 0:
+                most = np.maximum(most, np.abs(np.fft.irfft(x * y, size)[lags]) / norm)
+    return int(lags[np.argmax(most.round(9))])
+
+
+def compare_signals(reference: np.ndarray, candidate: np.ndarray, reach: int, fs: int = 48000) -> list[tuple]:
+    """Lag, then a row for each reference channel and the one matched to it; one row without channels where nothing overlaps."""
+    probe = PROBE_SECONDS * fs + reach
+    lag = best_lag(reference[:, :probe], candidate[:, :probe], reach)
     n = min(reference.shape[1] - max(0, -lag), candidate.shape[1] - max(0, lag))
+    if n <= 0:
+        return [(lag, 0.0, 0, *[None] * 14)]
     r, c = reference[:, max(0, -lag) :][:, :n], candidate[:, max(0, lag) :][:, :n]
-    cosine = float((a[max(0, -lag) :][:n] * b[max(0, lag) :][:n]).sum() / max(1e-30, math.sqrt((a * a).sum() * (b * b).sum())))
-    k = max(len(r), len(c))
-    weight = np.zeros((k, k))
-    for i in range(len(r)):
-        for j in range(len(c)):
-            x, y = r[i] - r[i].mean(), c[j] - c[j].mean()
-            d = math.sqrt((x * x).sum() * (y * y).sum())
-            weight[i, j] = abs((x * y).sum() / d) if d > 0 else float(np.array_equal(r[i], c[j]))
+    signed = np.array([[correlated(x, y) for y in c] for x in r])
     out = []
-    for i, j in enumerate(kernels.assign_channels(weight)):
-        if i < len(r) and j < len(c):
-            rest = np.square(r[i] - c[j]).mean()
-            ref, own = np.square(r[i]).mean(), np.square(c[j]).mean()
-            null = 300.0 if rest <= 1e-30 else 10 * math.log10(max(ref, 1e-30) / rest)
-            out.append((lag, cosine, i, j, float(weight[i, j]), 10 * math.log10(max(rest, 1e-30)), null, float((r[i] == c[j]).mean()), 10 * math.log10(max(own, 1e-30) / max(ref, 1e-30))))
+    for i, j in enumerate(kernels.assign_channels(np.abs(signed))):
+        turn = -1.0 if signed[i, j] < 0 else 1.0
+        rest, fixed = r[i] - c[j], r[i] - turn * c[j]
+        ref, own, left = (float(np.square(x).sum()) for x in (r[i], c[j], rest))
+        null = 300.0 if left <= 1e-30 else 0.0 if ref <= 1e-30 else max(-300.0, min(300.0, 10 * math.log10(ref / left)))
+        out.append((
+            lag, float(np.abs(signed).max()), n, i, j, float(abs(signed[i, j])), float(signed[i, j]), ref, left, float(np.square(fixed).sum()), float(np.abs(rest).max()), float(np.abs(fixed).max()),
+            kernels.spectral_error(r[i], c[j], fs), 10 * math.log10(max(left / n, 1e-30)), null, float((r[i] == c[j]).mean()), 10 * math.log10(max(own, 1e-30) / max(ref, 1e-30)),
+        ))
     return out
 
 
 def compare_audio(reference: DataFrame, candidate: DataFrame, reach: int = 2048) -> DataFrame:
-    """Matched channels of each asset in both tables."""
+    """Matched channels of each asset in both tables.
+
+    Inputs that differ in rate or number of channels, or have samples that are not finite, give one
+    row without a comparison.
+    """
+    names = [x.split()[0] for x in COMPARE.split(", ")]
 
     def stacked(rows: pd.DataFrame) -> np.ndarray:
         return np.stack([np.concatenate([np.asarray(s, np.float64) for s in own["samples"]]) for _, own in rows.sort_values(["channel", "chunk_no"]).groupby("channel")])
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [x.split()[0] for x in COMPARE.split(", ")]
         if left.empty or right.empty:
             return pd.DataFrame([], columns=names)
-        return pd.DataFrame([(key[0], *r) for r in compare_signals(stacked(left), stacked(right), reach)], columns=names)
+        r, c = stacked(left), stacked(right)
+        fs, other = int(left["sample_rate"].iloc[0]), int(right["sample_rate"].iloc[0])
+        odd = [int((~np.isfinite(x)).sum()) for x in (r, c)]
+        facts = (key[0], fs, other, len(r), len(c), *odd, abs(r.shape[1] - c.shape[1]))
+        same = fs == other and len(r) == len(c) and not any(odd)
+        rows = compare_signals(r, c, reach, fs) if same else [(None,) * (len(names) - len(facts))]
+        return pd.DataFrame([(*facts, *x) for x in rows], columns=names, dtype=object)
 
     return reference.groupBy("asset_id").cogroup(candidate.groupBy("asset_id")).applyInPandas(run, COMPARE)
 
 
-def comparison_gates(rows: DataFrame, max_lag: int = 0, min_correlation: float = 0.99, min_null_db: float = 40.0, max_gain_db: float = 0.1) -> DataFrame:
-    """Findings of a comparison."""
-    gates = [
-        ("AQ-AUDIO-LAG", F.abs("lag") <= max_lag), ("AQ-AUDIO-CHANNEL-ORDER", F.col("channel") == F.col("matched")), ("AQ-AUDIO-CORRELATION", F.col("correlation") >= min_correlation),
-        ("AQ-AUDIO-NULL-DEPTH", F.col("null_depth_db") >= min_null_db), ("AQ-AUDIO-LEVEL", F.abs("gain_db") <= max_gain_db),
+def comparison_gates(
+    rows: DataFrame, max_lag: int = 0, duration_tolerance: int = 0, min_alignment: float = 0.9, min_correlation: float = 0.999, min_null_db: float = 60.0, max_peak_db: float = -60.0,
+    max_spectral_db: float = 0.1, allow_permutation: bool = False, allow_inversion: bool = False,
+) -> DataFrame:
+    """(asset_id, channel, rule_id, level, passed), channel null for rules on whole assets.
+
+    Rules that need an earlier one to hold give no row where that one fails. Allowed permutations and
+    inversions are still found, as notes.
+    """
+    first = lambda c: F.first(c).alias(c)
+    residual, peak = ("corrected_energy", "corrected_peak") if allow_inversion else ("residual_energy", "residual_peak")
+    facts = ("reference_rate", "candidate_rate", "reference_channels", "candidate_channels", "reference_non_finite", "candidate_non_finite", "duration_delta", "lag", "lag_cosine", "overlap")
+    whole = rows.groupBy("asset_id").agg(
+        *[first(c) for c in facts], F.bool_and(F.col("channel") == F.col("matched")).alias("in_order"), F.sum("reference_energy").alias("energy"), F.sum(residual).alias("rest"), F.max(peak).alias("peak")
+    )
+    energy, rest = F.col("energy"), F.col("rest")
+    null = F.when(rest <= 1e-30, 300.0).when(energy <= 1e-30, 0.0).otherwise(10 * F.log10(energy / rest))
+    level = lambda allowed: "note" if allowed else "error"
+    assets = [
+        ("NON-FINITE", "error", (F.col("reference_non_finite") == 0) & (F.col("candidate_non_finite") == 0)), ("SAMPLE-RATE", "error", F.col("reference_rate") == F.col("candidate_rate")),
+        ("CHANNEL-COUNT", "error", F.col("reference_channels") == F.col("candidate_channels")), ("OFFSET", "error", F.abs("lag") <= max_lag), ("DURATION", "error", F.when(F.col("lag").isNotNull(), F.col("duration_delta") <= duration_tolerance)),
+        ("ALIGNMENT-CONFIDENCE", "error", F.col("lag_cosine") >= min_alignment), ("OVERLAP", "error", F.col("overlap") > 0), ("CHANNEL-PERMUTATION", level(allow_permutation), F.col("in_order")),
+        ("NULL-DEPTH", "error", null >= min_null_db), ("RESIDUAL-PEAK", "error", F.when(F.col("peak").isNotNull(), 20 * F.log10(F.greatest("peak", F.lit(1e-15))) <= max_peak_db)),
+    ]
+    channels = [
+        ("POLARITY", level(allow_inversion), F.col("signed_correlation") >= 0), ("CORRELATION", "error", F.col("correlation") >= min_correlation), ("SPECTRAL-ERROR", "error", F.col("spectral_error_db") <= max_spectral_db),
     ]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule_id"), c.alias("passed")) for n, c in gates])).alias("g")
-    return rows.select("asset_id", "channel", each).select("asset_id", "channel", "g.*")
+    each = lambda rules: F.explode(F.array(*[F.struct(F.lit(f"AQ-AUDIO-COMPARE-{n}").alias("rule_id"), F.lit(how).alias("level"), c.alias("passed")) for n, how, c in rules])).alias("g")
+    found = whole.select("asset_id", F.lit(None).cast("int").alias("channel"), each(assets)).union(rows.select("asset_id", "channel", each(channels)))
+    return found.select("asset_id", "channel", "g.*").where("passed IS NOT NULL")
 
 
 SPEECH = "asset_id string, frame long, start_seconds double, rms double, focus double, zcr double, band double, modulation double, periodicity double"
