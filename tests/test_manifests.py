@@ -5,10 +5,11 @@ from hashlib import sha1
 
 import pytest
 
+from wavequarry.sources import manifest_rules as rules
 from wavequarry.sources import manifests as m
 
 MPD = """<MPD xmlns="urn:mpeg:dash:schema:mpd:2011" type="{type}" id="x" profiles="p" minBufferTime="PT2S" availabilityStartTime="2026-01-01T00:00:00Z" publishTime="{publish}" mediaPresentationDuration="PT12S">
-<Period id="1" start="PT0S"><AdaptationSet contentType="audio"><SegmentTemplate timescale="10" media="$RepresentationID$-$Number%03d$-$Time$.m4s" startNumber="5"><SegmentTimeline>{line}</SegmentTimeline></SegmentTemplate>
+<Period id="1" start="PT0S"><AdaptationSet id="s" contentType="audio"><SegmentTemplate timescale="10" media="$RepresentationID$-$Number%03d$-$Time$.m4s" startNumber="5"><SegmentTimeline>{line}</SegmentTimeline></SegmentTemplate>
 <Representation id="a" bandwidth="1"/><Representation id="b" bandwidth="2"/></AdaptationSet></Period></MPD>"""
 
 
@@ -34,10 +35,30 @@ def test_manifest_rules(spark):
 
 def test_updates(spark):
     old, new = mpd("dynamic"), mpd("dynamic", "2026-01-01T00:00:09Z", '<S t="0" d="20" r="2"/><S d="15" r="3"/>')
-    assert all(r.passed for r in m.update_findings(docs(spark, old), docs(spark, new)).collect())
     bad = mpd("dynamic", "2026-01-01T00:00:00Z", '<S t="0" d="25" r="2"/>').replace('id="x"', 'id="y"').replace('<Representation id="b" bandwidth="2"/>', "")
-    failed = {r.rule_id for r in m.update_findings(docs(spark, old), docs(spark, bad)).where("NOT passed").collect()}
-    assert failed == {f"AQ-DASH-UPDATE-{x}" for x in ("ID", "PUBLISH-TIME", "REPRESENTATION-SET", "SEGMENT-EQUIVALENCE")}
+    twice = lambda text: text.replace("</MPD>", '<Period id="2" start="PT12S"/></MPD>')
+    turned = mpd("dynamic", "2026-01-01T00:00:09Z").replace('<Period id="1"', '<Period id="2" start="PT0S"/><Period id="1"').replace('bandwidth="2"', 'bandwidth="3"').replace('00:00:00Z" publish', '00:00:02Z" publish')
+    nameless = new.replace(' id="s"', "")
+    pairs = [(old, new), (old, bad), (twice(old), turned), (nameless.replace("09Z", "01Z"), nameless), (mpd(), new), ("<x", new)]
+    found = rules.update_findings(docs(spark, *[a for a, _ in pairs]), docs(spark, *[b for _, b in pairs], old)).collect()
+    assert len(found) == len(pairs) * len(rules.UPDATES)
+    failed = [{r.rule_id.removeprefix("AQ-DASH-UPDATE-") for r in found if r.path == str(i) and not r.passed} for i in range(len(pairs))]
+    assert failed[:5] == [
+        set(), {"ID", "PUBLISH-TIME", "REPRESENTATION-SET", "SEGMENT-EQUIVALENCE"}, {"AVAILABILITY-START", "PERIOD-ORDER", "PERIOD-TIMING", "FUNCTIONAL-EQUIVALENCE"}, {"IDENTITY"}, {"TYPE"},
+    ] and "TYPE" in failed[5]
+    chain = spark.createDataFrame([("a", "p", 1, old), ("b", "p", 2, new), ("c", "p", 3, bad), ("d", "q", 1, bad)], "path string, presentation string, taken int, text string")
+    assert {(r.path, r.passed) for r in rules.successive_findings(chain).where("rule_id LIKE '%PUBLISH-TIME'").collect()} == {("b", True), ("c", False)}
+
+
+def test_patches_of_many_documents(spark):
+    base = mpd("dynamic", "2026-01-01T00:00:01Z")
+    patch = '<Patch mpdId="x" originalPublishTime="2026-01-01T00:00:01Z" publishTime="2026-01-01T00:00:05Z"><replace sel="/MPD/@publishTime">2026-01-01T00:00:05Z</replace></Patch>'
+    cases = [(patch, set()), (patch.replace('"x"', '"y"'), {"MPD-ID"}), (patch.replace("00:01Z", "00:02Z"), {"ORIGINAL-PUBLISH-TIME"}), (patch.replace('00:05Z">', '00:06Z">'), {"RESULT-PUBLISH-TIME"}),
+             (patch.replace("/@", "/No/@"), {"APPLIES", "MPD-ID", "ORIGINAL-PUBLISH-TIME", "PUBLISH-TIME", "RESULT-PUBLISH-TIME"})]
+    pairs = spark.createDataFrame([(str(i), base, p) for i, (p, _) in enumerate(cases)], "path string, text string, operations string")
+    found = rules.patch_findings(pairs).where("NOT passed").collect()
+    assert [{r.rule_id.removeprefix("AQ-DASH-PATCH-") for r in found if r.path == str(i)} for i in range(len(cases))] == [w for _, w in cases]
+    assert 'publishTime="2026-01-01T00:00:05Z"' in rules.patched(pairs).where("path = '0'").first().text
 
 
 def test_patches():

@@ -124,6 +124,7 @@ def read_elements(path: str, text: str | None) -> list[tuple]:
         up: dict[str, str] = {}
         for a in chain[2:]:
             up |= plain_attributes(a)
+        up |= {f"@{m.local(a)}": a.get("id", "") for a in chain[1:]}
         kids["ancestors_protected"] = sum(c.get("schemeIdUri") == MP4_PROTECTION for a in [*chain[2:], e] for c in m.children(a, "ContentProtection"))
         kids["drm"] = sum((c.get("schemeIdUri") or "").startswith("urn:uuid:") for c in m.children(e, "ContentProtection"))
         kids["mp4protection"] = sum(c.get("schemeIdUri") == MP4_PROTECTION for c in m.children(e, "ContentProtection"))
@@ -234,3 +235,98 @@ def element_findings(docs: DataFrame, profile: str = "dash") -> DataFrame:
     })
     each = [F.when(about, F.struct(F.lit(f"AQ-{rule}").alias("rule_id"), F.lit(severity).alias("severity"), F.coalesce(ok, F.lit(False)).alias("passed"))) for rule, severity, about, ok in rules(profile)]
     return rows.select("path", "node", F.col("name").alias("element"), F.explode(F.array_compact(F.array(*each))).alias("r")).select("path", "node", "element", "r.*")
+
+
+KEPT = ("Period", "AdaptationSet", "Representation")
+UPDATES = ("TYPE", "ID", "AVAILABILITY-START", "PUBLISH-TIME", "IDENTITY", "PERIOD-ORDER", "PERIOD-TIMING", "ADAPTATION-ORDER", "REPRESENTATION-SET", "FUNCTIONAL-EQUIVALENCE", "SEGMENT-EQUIVALENCE")
+
+
+def moment(c: Column) -> Column:
+    return F.when(c.rlike(DATE_TIME), c.try_cast("timestamp"))
+
+
+def kept_elements(found: DataFrame) -> DataFrame:
+    """Elements that have an identity in their parent: their place among its children, and what may not change."""
+    attrs, up = F.col("attrs"), F.col("inherited")
+    either = lambda k: F.coalesce(attrs[k], up[k]).alias(k)
+    same = F.when(F.col("name") == "AdaptationSet", F.array(attrs["contentType"], attrs["lang"])).when(
+        F.col("name") == "Representation", F.array(attrs["bandwidth"], either("mimeType"), either("codecs"), either("audioSamplingRate"), up["channels@schemeIdUri"], up["channels@value"])
+    )
+    rows = found.where(F.col("name").isin(*KEPT)).withColumn("scope", F.concat_ws("\n", up["@Period"], up["@AdaptationSet"]))
+    place = F.row_number().over(Window.partitionBy("path", "name", "scope").orderBy("node"))
+    return rows.select("path", "name", "scope", attrs["id"].alias("id"), place.alias("place"), F.col("numbers")["resolved"].alias("start"), same.alias("same"))
+
+
+def update_findings(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """(path, rule_id, passed): what may not change between two snapshots (path, text) of each presentation, matched by path.
+
+    A path that only one table has gives no rows; where a document can't be read, the rules of the root fail.
+    """
+    old, new = elements(previous), elements(current)
+    root = lambda df, k: df.where("parent = -1").select("path", *[F.col("attrs")[x].alias(f"{k}_{x}") for x in ("id", "availabilityStartTime", "publishTime")], F.when(F.col("name") == "MPD", F.coalesce(F.col("attrs")["type"], F.lit("static"))).alias(f"{k}_type"))
+    roots = root(old, "a").join(root(new, "b"), "path")
+    checks = [
+        ("TYPE", (F.col("a_type") == "dynamic") & F.col("b_type").isin("dynamic", "static")), ("ID", F.col("a_id").isNull() | (F.col("a_id") == F.col("b_id"))),
+        ("AVAILABILITY-START", F.col("a_availabilityStartTime").eqNullSafe(F.col("b_availabilityStartTime"))), ("PUBLISH-TIME", moment(F.col("b_publishTime")) > moment(F.col("a_publishTime"))),
+        *[(rule, F.lit(True)) for rule in UPDATES[4:]],
+    ]
+    found = roots.select("path", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks])).alias("r")).select("path", "r.*")
+    keys = ["path", "name", "scope", "id"]
+    before, after = kept_elements(old), kept_elements(new)
+    for side in (before, after):
+        found = found.union(side.groupBy(*keys).count().select("path", F.lit("IDENTITY"), F.coalesce((F.col("id") != "") & (F.col("count") == 1), F.lit(False))))
+    both = before.join(after.select(*keys, F.col("place").alias("place2"), F.col("start").alias("start2"), F.col("same").alias("same2")), keys)
+    ordered = F.coalesce(F.lag("place2").over(Window.partitionBy("path", "name", "scope").orderBy("place", "place2")) <= F.col("place2"), F.lit(True))
+    for n, rule in (("Period", "PERIOD-ORDER"), ("AdaptationSet", "ADAPTATION-ORDER")):
+        found = found.union(both.where(F.col("name") == n).select("path", F.lit(rule), ordered))
+    found = found.union(both.where("name = 'Period'").select("path", F.lit("PERIOD-TIMING"), F.coalesce(F.abs(F.col("start") - F.col("start2")) < 1e-6, F.col("start").eqNullSafe(F.col("start2")))))
+    found = found.union(both.where("name <> 'Period'").select("path", F.lit("FUNCTIONAL-EQUIVALENCE"), F.col("same").eqNullSafe(F.col("same2"))))
+    # the representations of one adaptation set, in order
+    listed = lambda df, k: df.where("name = 'Representation'").groupBy("path", "scope").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias(k))
+    sets = both.where("name = 'AdaptationSet'").select("path", F.concat_ws("\n", "scope", "id").alias("scope")).join(listed(before, "x"), ["path", "scope"], "left").join(listed(after, "y"), ["path", "scope"], "left")
+    found = found.union(sets.select("path", F.lit("REPRESENTATION-SET"), F.col("x").eqNullSafe(F.col("y"))))
+    at = ["path", "period", "representation", "number"]
+    segments = m.segments(previous).where("number IS NOT NULL").join(m.segments(current).select(*at, F.col("time").alias("time2"), F.col("duration").alias("duration2"), F.col("uri").alias("uri2")), at)
+    found = found.union(segments.select("path", F.lit("SEGMENT-EQUIVALENCE"), (F.col("time") == F.col("time2")) & (F.col("duration") == F.col("duration2")) & F.col("uri").eqNullSafe(F.col("uri2"))))
+    known = found.join(roots.select("path"), "path", "left_semi")
+    return known.groupBy("path", F.concat(F.lit("AQ-DASH-UPDATE-"), "rule").alias("rule_id")).agg(F.bool_and("passed").alias("passed"))
+
+
+def successive_findings(snapshots: DataFrame) -> DataFrame:
+    """update_findings() of each snapshot (path, presentation, taken, text) against the one before it of the same presentation."""
+    pairs = snapshots.withColumn("previous", F.lag("text").over(Window.partitionBy("presentation").orderBy("taken", "path")))
+    first = F.row_number().over(Window.partitionBy("presentation").orderBy("taken", "path"))
+    pairs = pairs.withColumn("nth", first).where("nth > 1")
+    return update_findings(pairs.select("path", F.col("previous").alias("text")), pairs.select("path", "text"))
+
+
+PATCHED = "path string, text string, error string, base map<string,string>, patch map<string,string>, result map<string,string>"
+
+
+def patched(pairs: DataFrame) -> DataFrame:
+    """Documents (path, text) with their patches (operations) applied; text is null and error set where one doesn't apply."""
+    names = [x.split()[0] for x in PATCHED.split(", ")]
+
+    def apply(batches):
+        for rows in batches:
+            out = []
+            for path, text, operations in zip(rows["path"], rows["text"], rows["operations"], strict=True):
+                try:
+                    base, change = (plain_attributes(m.safe_xml(x or "")) for x in (text, operations))
+                    done = m.patch(text, operations)
+                    out.append((path, done, None, base, change, plain_attributes(m.safe_xml(done))))
+                except (ET.ParseError, ValueError) as e:
+                    out.append((path, None, str(e), {}, {}, {}))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return pairs.select("path", "text", "operations").mapInPandas(apply, PATCHED)
+
+
+def patch_findings(pairs: DataFrame) -> DataFrame:
+    """2.11: whether patches (path, text, operations) apply, belong to their documents, and move their time on."""
+    base, patch, result = F.col("base"), F.col("patch"), F.col("result")
+    first, then = moment(patch["originalPublishTime"]), moment(patch["publishTime"])
+    checks = [
+        ("APPLIES", F.col("error").isNull()), ("MPD-ID", base["id"] == patch["mpdId"]), ("ORIGINAL-PUBLISH-TIME", moment(base["publishTime"]) == first), ("PUBLISH-TIME", then > first), ("RESULT-PUBLISH-TIME", moment(result["publishTime"]) == then),
+    ]
+    return patched(pairs).select("path", F.explode(F.array(*[F.struct(F.lit(f"AQ-DASH-PATCH-{n}").alias("rule_id"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks])).alias("r")).select("path", "r.*")

@@ -172,26 +172,6 @@ def manifest_findings(docs: DataFrame) -> DataFrame:
     return j.select("path", F.explode(F.array(*[F.struct(F.lit(f"AQ-DASH-{n}").alias("rule_id"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in rules])).alias("r")).select("path", "r.*")
 
 
-def update_findings(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """What may not change between successive snapshots of one presentation: rows of (rule_id, passed)."""
-    name = lambda df, n: F.max(F.when(F.col("name") == n, F.col("value"))).alias(n)
-    wide = lambda df: facts(df).agg(*[name(df, n) for n in ("type", "id", "availabilityStartTime", "publishTime")])
-    a, b = wide(previous), wide(current).toDF("type2", "id2", "start2", "publish2")
-    attrs = a.crossJoin(b).select(F.explode(F.array(*[F.struct(F.lit(f"AQ-DASH-UPDATE-{n}").alias("rule_id"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in [
-        ("TYPE", F.col("type") == "dynamic"), ("ID", F.col("id").eqNullSafe(F.col("id2"))), ("AVAILABILITY-START", F.col("availabilityStartTime").eqNullSafe(F.col("start2"))), ("PUBLISH-TIME", F.col("publish2") > F.col("publishTime")),
-    ]])).alias("r")).select("r.*")
-    s, t = segments(previous), segments(current)
-    periods = lambda df: df.groupBy("period").agg(F.min("period_start").alias("start"))
-    p = periods(s).join(periods(t).withColumnRenamed("start", "start2"), "period", "inner").agg(F.coalesce(F.bool_and(F.abs(F.col("start") - F.col("start2")) < 1e-6), F.lit(True)).alias("passed")).select(F.lit("AQ-DASH-UPDATE-PERIOD-TIMING").alias("rule_id"), "passed")
-    reps = lambda df: df.select("period", "adaptation", "representation").distinct()
-    kept = reps(s).join(reps(t).select("period").distinct(), "period", "left_semi").join(reps(t), ["period", "adaptation", "representation"], "left_anti")
-    sets = kept.agg((F.count("*") == 0).alias("passed")).select(F.lit("AQ-DASH-UPDATE-REPRESENTATION-SET").alias("rule_id"), "passed")
-    keys = ["period", "adaptation", "representation", "number"]
-    both = s.where("number IS NOT NULL").join(t.select(*keys, F.col("time").alias("time2"), F.col("duration").alias("duration2")), keys)
-    same = both.agg(F.coalesce(F.bool_and((F.col("time") == F.col("time2")) & (F.col("duration") == F.col("duration2"))), F.lit(True)).alias("passed")).select(F.lit("AQ-DASH-UPDATE-SEGMENT-EQUIVALENCE").alias("rule_id"), "passed")
-    return attrs.union(p).union(sets).union(same)
-
-
 def patch(document: str, operations: str) -> str:
     """Add, replace and remove operations of an XML patch; selectors are child paths with [n] and [@name='value'], optionally ending in @name."""
     root, changes = safe_xml(document), safe_xml(operations)
