@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from . import isobmff, wave
+from . import isobmff, lossless, wave
 
 CHECKS = "path string, format string, layer string, rule_id string, passed boolean, message string"
 Check = tuple[str, str, bool, str]
@@ -278,7 +278,7 @@ def signed_pcm(data: bytes) -> Iterator[Check]:
 FORMATS = [
     (0, b"RIFF", "wave", riff), (0, b"RF64", "wave", riff), (0, b"BW64", "wave", riff), (0, b"FORM", "aiff", aiff), (0, b"caff", "caf", caf), (0, b".snd", "au", au), (0, b"fLaC", "flac", flac),
     (0, b"OggS", "ogg", ogg), (0, b"ID3", "mp3", mp3), (4, b"ftyp", "isobmff", isobmff.audit), (4, b"styp", "isobmff", isobmff.audit), (4, b"moof", "isobmff", isobmff.audit), (0, b"\x1aE\xdf\xa3", "matroska", matroska),
-    (0, b"DSD ", "dsf", signed_pcm), (0, b"\x0b\x77", "ac3", ac3), (0, b"\x47", "mpegts", transport),
+    (0, b"DSD ", "dsf", signed_pcm), (0, b"\x0b\x77", "ac3", ac3), (0, b"\x47", "mpegts", transport), (0, b"wvpk", "wavpack", lossless.wavpack), (0, b"MAC ", "ape", lossless.monkeys), (0, b"MACF", "ape", lossless.monkeys),
 ]
 
 
