@@ -20,3 +20,10 @@ def test_container_verdicts_have_their_own_rules(spark):
     cand = spark.createDataFrame([("a", "R", False), ("c", "R", False)], schema)
     found = {(r.path, r.rule_id) for r in compare.verdict_diff(base, cand, ["path", "rule"], "CONTAINER-QC").collect()}
     assert found == {("a", "AQ-NEW-CONTAINER-QC-FAILURE"), ("b", "AQ-CONTAINER-QC-EVIDENCE-MISSING")}
+
+
+def test_audits_are_joined_by_place(spark):
+    reports = spark.createDataFrame([("m", 2, "b"), ("m", 1, "a"), ("n", 1, "c"), ("o", 1, "d")], "manifest string, at int, path string")
+    audits = spark.createDataFrame([("m", 5, True), ("m", 9, False), ("n", 1, True), ("n", 2, True), ("p", 1, True)], "manifest string, nth int, ok boolean")
+    found = compare.zip_audits(reports, audits, "manifest", "at", "nth").collect()
+    assert {(r.path, r.position, r.ok, r.mismatched) for r in found} == {("a", 1, True, False), ("b", 2, False, False), ("c", 1, None, True), ("d", 1, None, False)}

@@ -132,3 +132,16 @@ def test_models(spark):
     for r in editlists.model_findings(editlists.models(docs)).collect():
         got.setdefault(r.path, set()).add(r.rule_id.removeprefix("AQ-ADM-"))
     assert got == {"loop": {"OBJECT-LOOP"}, "lost": {"REFERENCE"}, "form": {"ID-FORM"}, "twice": {"ID-FORM", "UNIQUE-ID"}, "xml": {"XML"}}
+
+
+def test_binaural_renderings(spark):
+    m = "id string, channels int, frames long, sample_rate int, integrated_lufs double, true_peak_dbtp double"
+    ids = ["good", "alone", "long", "clip", "peak", "loud", "mono", "silent"]
+    source = spark.createDataFrame([(i, 12, FS * 10, FS, -23.0, -5.0) for i in ids], m)
+    change = {"long": (2, FS * 10 + 100, -23.0, -5.0), "peak": (2, FS * 10, -23.0, -0.5), "loud": (2, FS * 10, -21.5, -5.0), "mono": (1, FS * 10, -23.0, -5.0), "silent": (2, FS * 10, float("-inf"), float("-inf"))}
+    rendered = spark.createDataFrame([(i, c, n, FS, lufs, peak) for i in ids for c, n, lufs, peak in [change.get(i, (2, FS * 10, -23.0, -5.0))]], m)
+    reference = spark.createDataFrame([(i, 2, FS * 10, FS, -23.0, -5.0) for i in ids if i not in ("alone", "mono")], m)
+    found = {x.id: x for x in delivery.binaural_qc(source, rendered, reference, spark.createDataFrame([("clip", 4)], "id string, clipped long")).collect()}
+    assert {i for i, x in found.items() if x.passed} == {"good", "alone"} and found["alone"].reference_passed is None
+    assert not found["long"].duration_passed and found["clip"].clip_risk == "sample-clipping" and found["peak"].clip_risk == "true-peak-ceiling"
+    assert not found["loud"].reference_passed and found["loud"].loudness_delta == 1.5 and found["silent"].clip_risk_passed and not found["silent"].reference_passed and found["silent"].loudness_delta is None

@@ -120,3 +120,19 @@ def owners(edges: DataFrame, child: str, parent: str) -> DataFrame:
             known = lambda c: F.when(~F.col("open"), F.col(c))
             return state.select(F.col("node").alias(child), known("depth").alias("depth"), known("ancestor").alias("root"), F.col("open").alias("cyclic"))
         state = state.drop("open")
+
+
+def zip_audits(reports: DataFrame, audits: DataFrame, key: str, report_order: str, audit_order: str) -> DataFrame:
+    """Reports with the audit at the same place of the same manifest: (reports' columns, position, audits' columns, mismatched).
+
+    A manifest without audits has none; one whose numbers of reports and audits differ is mismatched, and gets none either.
+    Manifests that have audits only give no rows.
+    """
+    order = lambda c: Window.partitionBy(key).orderBy(c)
+    extra = [c for c in audits.columns if c != key]
+    own = reports.withColumns({"position": F.row_number().over(order(report_order)), "_reports": F.count("*").over(Window.partitionBy(key))})
+    theirs = audits.withColumn("position", F.row_number().over(order(audit_order)))
+    sizes = audits.groupBy(key).agg(F.count("*").alias("_audits"))
+    j = own.join(sizes, key, "left").join(theirs, [key, "position"], "left")
+    equal = F.col("_audits") == F.col("_reports")
+    return j.withColumns({**{c: F.when(equal, F.col(c)) for c in extra}, "mismatched": F.coalesce(~equal, F.lit(False))}).drop("_reports", "_audits")

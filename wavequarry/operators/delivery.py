@@ -44,6 +44,30 @@ def downmix_qc(source: DataFrame, mixed: DataFrame, clipped: DataFrame, ceiling:
     return x.withColumns({"loudness_delta": change, "headroom_db": F.when(F.col("true_peak_dbtp") > float("-inf"), F.lit(ceiling) - F.col("true_peak_dbtp")), "clip_risk": risk, "passed": (F.col("clipped") <= max_clipped) & ~over & level})
 
 
+def binaural_qc(source: DataFrame, rendered: DataFrame, reference: DataFrame, clipped: DataFrame, ceiling: float = -1.0, max_clipped: int = 0, max_duration_delta: float = 0.001, max_loudness_delta: float = 1.0, max_peak_delta: float = 1.0) -> DataFrame:
+    """2.11: length, clip risk and drift of each binaural rendering, against its source and, where there is one, a reference.
+
+    source, rendered, reference: id, channels, frames, sample_rate, integrated_lufs, true_peak_dbtp; clipped: id, clipped.
+    A rendering or reference that isn't stereo fails.
+    """
+    side = lambda df, k: df.select("id", F.col("channels").alias(f"{k}_channels"), (F.col("frames") / F.col("sample_rate")).alias(f"{k}_seconds"), F.col("integrated_lufs").alias(f"{k}_lufs"), F.col("true_peak_dbtp").alias(f"{k}_peak"))
+    c = F.col
+    x = side(rendered, "rendered").join(side(source, "source"), "id").join(side(reference, "reference"), "id", "left").join(clipped.select("id", "clipped"), "id", "left").withColumn("clipped", F.coalesce("clipped", F.lit(0)))
+    over = F.coalesce((F.abs("rendered_peak") < float("inf")) & (c("rendered_peak") > ceiling), F.lit(False))
+    # a difference exists between finite values only; without one the reference's rule fails
+    finite = lambda a, b: F.when((F.abs(a) < float("inf")) & (F.abs(b) < float("inf")), a - b)
+    within = lambda d, most: F.coalesce(F.abs(d) <= most, F.lit(False))
+    compared = c("reference_channels").isNotNull()
+    x = x.withColumns({
+        "duration_delta": c("rendered_seconds") - c("source_seconds"), "reference_duration_delta": c("rendered_seconds") - c("reference_seconds"),
+        "loudness_delta": finite(c("rendered_lufs"), c("reference_lufs")), "peak_delta": finite(c("rendered_peak"), c("reference_peak")),
+        "clip_risk": F.when(c("clipped") > 0, "sample-clipping").when(over, "true-peak-ceiling").otherwise("none"), "clip_risk_passed": (c("clipped") <= max_clipped) & ~over,
+    })
+    near = (c("reference_channels") == 2) & within(c("loudness_delta"), max_loudness_delta) & within(c("peak_delta"), max_peak_delta) & within(c("reference_duration_delta"), max_duration_delta)
+    x = x.withColumns({"duration_passed": within(c("duration_delta"), max_duration_delta), "reference_passed": F.when(compared, near)})
+    return x.withColumn("passed", F.coalesce(c("rendered_channels") == 2, F.lit(False)) & c("duration_passed") & c("clip_risk_passed") & F.coalesce("reference_passed", F.lit(True)))
+
+
 def normalization_difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """A row of evidence for each metric of each asset in both; what isn't finite is null."""
     finite = lambda c: F.when(F.abs(c) < float("inf"), c)

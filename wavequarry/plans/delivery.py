@@ -447,3 +447,17 @@ def event_overlaps(spark, sf_dir):
     f = e.toDF("track", "m", "s2", "e2")
     both = e.join(f, "track").where("n < m AND s < e2 AND s2 < e")
     return both.select("track", F.col("n").alias("first_event"), F.col("m").alias("second_event"), (F.least("e", "e2") - F.greatest("s", "s2")).cast("long").alias("overlap"))
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS manifest, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS position, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+b AS (SELECT l_orderkey AS manifest, l_suppkey::VARCHAR AS audit, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey::VARCHAR) AS position, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WHERE l_returnflag <> 'R'),
+s AS (SELECT DISTINCT manifest, n FROM b)
+SELECT a.manifest, a.position, a.part, CASE WHEN a.n = s.n THEN b.audit END AS audit, coalesce(a.n <> s.n, false) AS mismatched FROM a LEFT JOIN s ON a.manifest = s.manifest LEFT JOIN b ON a.manifest = b.manifest AND a.position = b.position"""
+)
+def audits_by_position(spark, sf_dir):
+    """Audits of the lines that were not returned, by their place among an order's lines; other numbers of audits than of lines are mismatches."""
+    l = read(spark, sf_dir, "lineitem")  # noqa: E741
+    reports = l.select(F.col("l_orderkey").alias("manifest"), F.col("l_partkey").alias("part"))
+    audits = l.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("manifest"), F.col("l_suppkey").cast("string").alias("audit"))
+    return compare.zip_audits(reports, audits, "manifest", "part", "audit").select("manifest", F.col("position").cast("long").alias("position"), "part", "audit", "mismatched")
