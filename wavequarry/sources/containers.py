@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from . import isobmff, lossless, wave
+from . import isobmff, lossless, wave, wave_xml
 
 CHECKS = "path string, format string, layer string, rule_id string, passed boolean, message string"
 Check = tuple[str, str, bool, str]
@@ -26,12 +26,25 @@ def iff_chunks(data: bytes, at: int, end: int, order: str) -> Iterator[tuple[byt
         at += 8 + n + n % 2
 
 
+def riff_chunks(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """Chunks of a WAVE file; the long form states the size of its data elsewhere."""
+    at, stated = 12, None
+    while at + 8 <= len(data):
+        name, n = data[at : at + 4], u(data, at + 4, 4, "little")
+        if name == b"ds64":
+            stated = u(data, at + 16, 8, "little")
+        if name == b"data" and n == 0xFFFFFFFF and stated is not None and stated >= 0:
+            n = stated
+        yield name, at + 8, n
+        at += 8 + n + n % 2
+
+
 def riff(data: bytes) -> Iterator[Check]:
     declared = u(data, 4, 4, "little")
     long_form = data[:4] != b"RIFF"
     yield "wrapper", "RIFF-SIZE", long_form or declared + 8 <= len(data), f"{declared} declared"
     names, odd, count = [], False, 0
-    for name, at, n in iff_chunks(data, 12, len(data), "little"):
+    for name, at, n in riff_chunks(data):
         names.append(name)
         count += 1
         odd |= name not in (b"data",) and at + n > len(data)
@@ -42,20 +55,23 @@ def riff(data: bytes) -> Iterator[Check]:
     yield "wrapper", "DS64", not long_form or (names[:1] == [b"ds64"]), "the long form begins with ds64"
     yield "wrapper", "FMT-BEFORE-DATA", b"fmt " in names and b"data" in names and names.index(b"fmt ") < names.index(b"data"), "fmt comes before data"
     yield "wrapper", "SINGLE-DATA", names.count(b"data") == 1 and names.count(b"fmt ") == 1, "one fmt and one data"
+    frames = None
     try:
         info = wave.probe(data, len(data))
+        frames = info["frames"]
         yield "bitstream", "FORMAT", True, info["kind"]
         yield "bitstream", "WHOLE-FRAMES", True, f"{info['frames']} frames"
         yield "bitstream", "CHANNEL-MASK", not info["mask"] or info["mask"].bit_count() <= info["channels"], f"mask {info['mask']:#x}"
     except wave.WaveError as e:
         yield "bitstream", "FORMAT", False, str(e)
-    for name, at, n in iff_chunks(data, 12, len(data), "little"):
+    for name, at, n in riff_chunks(data):
         if name == b"bext":
             version = u(data, at + 346, 2, "little")
             yield "wrapper", "BEXT-SIZE", n >= 602, f"{n} bytes"
             yield "wrapper", "BEXT-VERSION", version in (0, 1, 2), f"version {version}"
             date = data[at + 320 : at + 330]
             yield "wrapper", "BEXT-DATE", date == bytes(10) or (len(date) == 10 and date[:4].isdigit() and date[5:7].isdigit() and date[8:10].isdigit()), date.decode("latin-1")
+    yield from wave_xml.checks(data, list(riff_chunks(data)), frames)
 
 
 def aiff(data: bytes) -> Iterator[Check]:
