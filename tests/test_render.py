@@ -104,6 +104,12 @@ def test_comparison_gates_each_fire(spark):
     assert failing(render.compare_audio(chunks(spark, a * 0), chunks(spark, a * 0), 20)) == set()
 
 
+def test_lag_is_found_behind_long_silence():
+    x = np.concatenate([np.zeros((1, 30 * 1000)), np.random.default_rng(4).normal(size=(1, 2000))], axis=1)
+    later = np.concatenate([np.zeros((1, 9)), x[:, :-9]], axis=1)
+    assert [render.compare_signals(a, b, 20, 1000)[0][:2] for a, b in ((x, later), (later, x))] == [(9, pytest.approx(1)), (-9, pytest.approx(1))]
+
+
 def test_band_amplitudes_equal_direct_sums():
     x = np.random.default_rng(3).normal(size=500)
     w = np.hanning(500)

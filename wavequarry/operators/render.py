@@ -90,7 +90,7 @@ COMPARE = (
     "lag long, lag_cosine double, overlap long, channel int, matched int, correlation double, signed_correlation double, reference_energy double, residual_energy double, corrected_energy double, "
     "residual_peak double, corrected_peak double, spectral_error_db double, residual_db double, null_depth_db double, exact_ratio double, gain_db double"
 )
-#: Seconds from which the lag is estimated.
+#: Seconds from which the lag is estimated, from the first sample that isn't zero in either input.
 PROBE_SECONDS = 10
 
 
@@ -120,8 +120,10 @@ def best_lag(reference: np.ndarray, candidate: np.ndarray, reach: int) -> int:
 
 def compare_signals(reference: np.ndarray, candidate: np.ndarray, reach: int, fs: int = 48000) -> list[tuple]:
     """Lag, then a row for each reference channel and the one matched to it; one row without channels where nothing overlaps."""
-    probe = PROBE_SECONDS * fs + reach
-    lag = best_lag(reference[:, :probe], candidate[:, :probe], reach)
+    heard = [np.flatnonzero(x.any(axis=0)) for x in (reference, candidate)]
+    start = min((int(h[0]) for h in heard if len(h)), default=0)
+    probe = slice(start, start + PROBE_SECONDS * fs + reach)
+    lag = best_lag(reference[:, probe], candidate[:, probe], reach)
     n = min(reference.shape[1] - max(0, -lag), candidate.shape[1] - max(0, lag))
     if n <= 0:
         return [(lag, 0.0, 0, *[None] * 14)]
